@@ -6,14 +6,14 @@ import unicodedata
 from functools import cache
 
 #: Letters of other scripts, and the Latin letter each looks like, in the order of the strings.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХѴаеѕіјорсухһԁԛԝѵӏгҮү"
-CYRILLIC_AS = "ABESIJKMHOPCTYXVaesijopcyxhdqwvlrYy"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορτυχγϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXaivoptuxyсj"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХѴаеѕіјорсухһԁԛԝѵӏ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXVaesijopcyxhdqwvl"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιορυχνϲϳ"
+GREEK_AS = "ABEZHIKMNOPTYXaiopuxvcj"
 ARMENIAN = "ՍՕօսհոզ"
 ARMENIAN_AS = "UOouhnq"
 
-LETTERS = {ord(a): b for x, y in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS.replace("с", "c")), (ARMENIAN, ARMENIAN_AS)) for a, b in zip(x, y, strict=True)}
+LETTERS = {ord(a): b for x, y in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS)) for a, b in zip(x, y, strict=True)}
 #: Code points of letters of other scripts that look like Latin ones.
 LOOKALIKE = frozenset(LETTERS)
 

@@ -16,6 +16,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docveil.llm.inputs import rows_of, union
 from docveil.llm.lookalikes import LOOKALIKE
@@ -180,18 +181,38 @@ def _from_utf8(word: str, wrong: str) -> str:
     return "".join(out)
 
 
-def readings(word: str) -> Iterator[tuple[str, bool]]:
-    """What the word may have been before: each inverse mapping, multi-byte ones up to three times over. The flag
-    tells that the reading rests on valid byte sequences, not on single bytes."""
-    found, todo = set(), {word}
+#: A character that no sound text of the five languages needs, or a question mark before a letter: without one, no
+#: inverse mapping can be tried. Signs and foreign letters are among them; the test of the word decides.
+UNUSUAL = f"[^\\x00-\\x7f{NATURAL}]|[?][A-Za-z]"
+STRANGE = re.compile(UNUSUAL)
+Path = tuple[str, ...]
+
+
+def reading(word: str, path: Path) -> str:
+    """The word with one chain of inverse mappings applied: code pages read as UTF-8, or a pair of code pages."""
+    if path[0] == "bytes":
+        return word.translate(_single(path[1], path[2]))
+    for wrong in path:
+        word = _from_utf8(word, wrong)
+    return word
+
+
+def readings(word: str) -> Iterator[tuple[str, Path]]:
+    """What the word may have been before: each inverse mapping, those of byte sequences up to three times over."""
+    found, todo = {word}, {word: ()}
     for _ in range(3):
-        todo = {r for x in todo for wrong in WRONG if (r := _from_utf8(x, wrong)) != x} - found
-        found |= todo
-    yield from ((r, True) for r in found)
+        nxt = {}
+        for x, path in todo.items():
+            for wrong in WRONG:
+                if (r := _from_utf8(x, wrong)) not in found:
+                    found.add(r)
+                    nxt[r] = (*path, wrong)
+                    yield r, nxt[r]
+        todo = nxt
     for wrong in WRONG:
         for right in RIGHT:
             if wrong != right and (r := word.translate(_single(wrong, right))) != word:
-                yield r, False
+                yield r, ("bytes", wrong, right)
 
 
 def segments(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -222,12 +243,14 @@ LOST = "�"
 ASKED = re.compile(r"[^\W\d_]\?+[^\W\d_]|(?<![^\s(\"'])\?[^\W\d_]")
 
 
-def repair(stats: Statistics, text: str) -> tuple[str, int, int]:
-    """The text with damaged words restored; the number of words restored, and of those damaged past knowing."""
+def repair(stats: Statistics, text: str, first: bool = False) -> tuple[str, int, int]:
+    """The text with damaged words restored; the number of words restored, and of those damaged past knowing.
+
+    A mapping that restored one word is tried first on the following ones. With ``first``, the first finding ends it.
+    """
     s = symbols(text)
     x = IMPROBABLE - stats.w[s[:-1], s[1:]]
-    lost, todo = 0, []
-    at = 0
+    fixed, lost, todo, at = 0, 0, [], 0
     for a, b in segments(x):
         a, b = max(a, at), b + 1
         if a >= b:
@@ -236,15 +259,16 @@ def repair(stats: Statistics, text: str) -> tuple[str, int, int]:
             a -= 1
         while b < len(text) and text[b] not in " \n\t":
             b += 1
-        todo.append((a, b))
         at = b
-    out, at, fixed = [], 0, 0
+        if STRANGE.search(text, a, b):
+            todo.append((a, b))
+    out, at, known = [], 0, []
     for a, b in todo:
         out.append(text[at:a])
         at, end = b, a
         for piece in _split(text[a:b]):
             end += len(piece)
-            new = _best(stats, piece) if _suspect(piece) else piece
+            new = _best(stats, piece, known) if _suspect(piece) else piece
             if new != piece and piece[-1] in "-¬" and (rest := re.match(r"[ \t]*\n\s*([^\W\d_]+)", text[end:])) and stats.sound(piece[:-1] + rest[1], new[:-1] + rest[1]):
                 new = piece
             if new != piece:
@@ -252,6 +276,8 @@ def repair(stats: Statistics, text: str) -> tuple[str, int, int]:
             elif LOST in piece or ASKED.search(piece) or any("\x80" <= c <= "\x9f" for c in piece):
                 lost += 1
             out.append(new)
+            if first and fixed + lost:
+                return text, fixed, lost
     out.append(text[at:])
     return "".join(out), fixed, lost
 
@@ -270,25 +296,38 @@ def _split(run: str) -> Iterator[str]:
         yield word
 
 
-def _best(stats: Statistics, word: str) -> str:
-    base, found, most, kind = stats.score(f" {word} "), word, 0.0, False
-    for r, sequences in readings(word):
-        if found != word and kind and not sequences:
-            break
-        gone = [i for i, c in enumerate(word) if c > "\x7f" and c not in r]
-        changed = max(1, len(gone))
-        if not sequences:
-            inside = [0 < i < len(word) - 1 and word[i - 1].isalpha() and word[i + 1].isalpha() for i in gone]
-            # Natural letters, look-alikes and invisible characters are no evidence, nor are signs set apart.
-            if not any((c := word[i]) not in NATURAL and ord(c) not in LOOKALIKE and unicodedata.category(c) != "Cf" and (c not in SIGNS or mid) for i, mid in zip(gone, inside, strict=True)):
-                continue
-        gain = stats.score(f" {r} ") - base
-        if sequences and all(c < "\x7f" or c in NATURAL for c in r):
-            gain = max(gain, 0.0) + 2.0 * (len(word) - len(r))
+def _gain(stats: Statistics, word: str, base: float, r: str, path: Path) -> float:
+    """How much more probable the reading is; 0 if it isn't taken."""
+    gone = [i for i, c in enumerate(word) if c > "\x7f" and c not in r]
+    gain = stats.score(f" {r} ") - base
+    if path[0] != "bytes":
         # Byte sequences that are valid are rarely so by chance; single bytes need the gain.
-        if gain > most and (sequences or gain > GAIN * changed):
-            found, most, kind = r, gain, sequences
-    return word if found != word and stats.sound(word, found) else found
+        return max(gain, 0.0) + 2.0 * (len(word) - len(r)) if all(c < "\x7f" or c in NATURAL for c in r) else gain
+    inside = [0 < i < len(word) - 1 and word[i - 1].isalpha() and word[i + 1].isalpha() for i in gone]
+    # Natural letters, look-alikes and invisible characters are no evidence, nor are signs set apart.
+    if not any((c := word[i]) not in NATURAL and ord(c) not in LOOKALIKE and unicodedata.category(c) != "Cf" and (c not in SIGNS or mid) for i, mid in zip(gone, inside, strict=True)):
+        return 0.0
+    return gain if gain > GAIN * max(1, len(gone)) else 0.0
+
+
+def _best(stats: Statistics, word: str, known: list[Path]) -> str:
+    base, found, most, best = stats.score(f" {word} "), word, 0.0, None
+    for path in known:
+        r = reading(word, path)
+        if r != word and _gain(stats, word, base, r, path) > 0:
+            found, best = r, path
+            break
+    else:
+        for r, path in readings(word):
+            if best and best[0] != "bytes" and path[0] == "bytes":
+                break
+            if (gain := _gain(stats, word, base, r, path)) > most:
+                found, most, best = r, gain, path
+    if best is None or stats.sound(word, found):
+        return word
+    if best not in known:
+        known.append(best)
+    return found
 
 
 def _repairer(stats: Statistics, only_found: bool):
@@ -297,9 +336,9 @@ def _repairer(stats: Statistics, only_found: bool):
             src, keys, texts = (batch.column(i) for i in range(3))
             out = []
             for i, t in enumerate(texts.to_pylist()):
-                if not t or (t.isascii() and "?" not in t):
+                if not t:
                     continue
-                new, fixed, lost = repair(stats, t)
+                new, fixed, lost = repair(stats, t, only_found)
                 lost = lost or (1 if LOST in t else 0)
                 if fixed or lost:
                     out.append((src[i].as_py(), keys[i].as_py(), None if only_found else new, fixed, lost))
@@ -318,7 +357,7 @@ def restore(texts: DataFrame, stats_of: DataFrame | None = None, only_found: boo
     ``stats_of`` (by default the texts themselves).
     """
     stats = statistics(texts if stats_of is None else stats_of)
-    damaged = texts.where(r"text rlike '[^\\x00-\\x7f]|[?][A-Za-z]'").select("src", "row_key", "text")
+    damaged = texts.where(F.col("text").rlike(UNUSUAL)).select("src", "row_key", "text")
     return damaged.mapInArrow(_repairer(stats, only_found), "src string, row_key string, restored string, fixed int, lost int").dropDuplicates(["src", "row_key"])
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.llm import mojibake
+from docveil.llm import canonical, mojibake, truncated
 
-MODULES = (mojibake,)
+MODULES = (canonical, mojibake, truncated)
 
 
 def queries():
