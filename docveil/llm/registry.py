@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.llm import canonical, mojibake, truncated
+from docveil.llm import canonical, mixing, mojibake, packing, truncated
 
-MODULES = (canonical, mojibake, truncated)
+MODULES = (canonical, mixing, mojibake, packing, truncated)
 
 
 def queries():
