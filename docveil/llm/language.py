@@ -210,18 +210,23 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
 
 
 def decode(lp: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The most probable language of each sentence, a switch between neighbours costing ``switch``."""
+    """The most probable language of each of two or more sentences, a switch costing ``switch``. No language is left
+    after one sentence: a list of names, say, is not taken for a stretch in the names' language."""
     n, k = lp.shape
-    score, back = lp[0].copy(), np.zeros((n, k), np.int64)
+    new, old = lp[0].astype(np.float64), np.full(k, -np.inf)
+    from_new, from_lang = np.zeros((n, k), bool), np.zeros((n, k), np.int64)
     for i in range(1, n):
-        best = int(score.argmax())
-        moved = score[best] - switch
-        back[i] = np.where(score >= moved, np.arange(k), best)
-        score = np.maximum(score, moved) + lp[i]
-    path = np.empty(n, np.int64)
-    path[-1] = score.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+        best = int(old.argmax())
+        from_new[i], from_lang[i] = new >= old, best
+        new, old = old[best] - switch + lp[i], np.maximum(new, old) + lp[i]
+    path, i, lang, fresh = np.empty(n, np.int64), n - 1, int(old.argmax()), False
+    while i >= 0:
+        path[i] = lang
+        if fresh:
+            lang, fresh = int(from_lang[i, lang]), False
+        else:
+            fresh = bool(from_new[i, lang])
+        i -= 1
     return path
 
 
