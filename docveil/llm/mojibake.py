@@ -349,15 +349,15 @@ def _repairer(stats: Statistics, only_found: bool):
     return run
 
 
-def restore(texts: DataFrame, stats_of: DataFrame | None = None, only_found: bool = False) -> DataFrame:
+def restore(texts: DataFrame, stats_of: DataFrame | None = None, only_found: bool = False, unusual: bool = False) -> DataFrame:
     """Damaged records of ``src, row_key, text`` with the restored text.
 
     Columns out: ``src, row_key, restored, fixed INT`` (words restored), ``lost INT`` (words damaged but unknown).
     Null and empty texts are sound. Repeated rows come out once. The pair statistics cover all rows of
-    ``stats_of`` (by default the texts themselves).
+    ``stats_of`` (by default the texts themselves). ``unusual`` says that all texts given hold an unusual character.
     """
     stats = statistics(texts if stats_of is None else stats_of)
-    damaged = texts.where(F.col("text").rlike(UNUSUAL)).select("src", "row_key", "text")
+    damaged = (texts if unusual else texts.where(F.col("text").rlike(UNUSUAL))).select("src", "row_key", "text")
     return damaged.mapInArrow(_repairer(stats, only_found), "src string, row_key string, restored string, fixed int, lost int").dropDuplicates(["src", "row_key"])
 
 
