@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.llm import canonical, language, mixing, mojibake, packing, truncated
+from docveil.llm import canonical, language, mixing, mojibake, names, packing, truncated
 
-MODULES = (canonical, language, mixing, mojibake, packing, truncated)
+MODULES = (canonical, language, mixing, mojibake, names, packing, truncated)
 
 
 def queries():
