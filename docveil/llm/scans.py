@@ -25,13 +25,13 @@ CONFUSIONS = (
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("lc", "k"), ("lı", "h"), ("li", "h"), ("ii", "u"), ("ii", "ü"), ("ri", "n"), ("n", "ri"), ("m", "in"), ("in", "m"), ("nı", "m"), ("vv", "w"), ("w", "vv"),
     ("c", "e"), ("e", "c"), ("o", "a"), ("a", "o"), ("u", "a"), ("v", "y"), ("y", "v"), ("f", "t"), ("t", "f"), ("fl", "tl"), ("l", "i"), ("i", "l"), ("l", "ı"), ("ı", "l"), ("l", "t"), ("t", "l"), ("r", "n"),
     ("q", "g"), ("g", "q"), ("h", "b"), ("b", "h"), ("u", "n"), ("n", "u"), ("1", "l"), ("1", "i"), ("1", "ı"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("2", "z"), ("f", "e"), ("e", "f"), ("p", "r"),
-    ("ti", "tı"), ("0", "ö"), ("6", "ö"), ("ı", "i"), ("j", "i"), ("tu", "tıı"), ("iı", "u"), ("ıı", "u"), ("ıi", "ü"), ("ın", "m"), ("m", "ın"), ("k", "lc"), ("h", "li"),
+    ("ti", "tı"), ("0", "ö"), ("6", "ö"), ("j", "i"), ("tu", "tıı"), ("iı", "u"), ("ıı", "u"), ("ıi", "ü"), ("ın", "m"), ("m", "ın"), ("k", "lc"), ("h", "li"),
 )
 #: Words before a page number.
 PAGE_WORDS = "sayfa|sahife|page|pagina|seite|pag|s|p"
 #: Letters taken for one another in headers, as one; applied after the pairs.
 SKELETON_PAIRS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("lc", "k"), ("ii", "u"), ("vv", "w"), ("li", "h"))
-SKELETON = ("eao0öâéç" + "ğqş5üv8" + "1ıitfj", "cccccccc" + "ggssuyb" + "llllll")
+SKELETON = ("eao01itfjq5v8", "cccclllllgsyb")
 
 _BREAK = "[-‐‑¬­－]"
 
@@ -64,7 +64,8 @@ def page_number(line: Column) -> Column:
 
 def _skeleton(line: Column) -> Column:
     s = F.regexp_replace(_folded(line), rf"\s+(?:{PAGE_WORDS})\.?\s*[0-9oıil]+\s*$", "")
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")
+    # ASCII alone is kept: what was wrongly decoded differs in the rest.
+    s = F.regexp_replace(s, r"[^a-z0-9]+", "")
     for a, b in SKELETON_PAIRS:
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.translate(s, *SKELETON)
@@ -116,6 +117,9 @@ def tokens(lines: DataFrame) -> DataFrame:
     """``src, row_key, line_no, word``: words of the lines; a word split at the line's end is put together and counts
     for the line it begins in. Words of addresses in the net are left out."""
     clean = F.regexp_replace("line", r"\S*@\S*", " ")
+    # Words with a character of problems 5 or 7 are theirs.
+    odd = rf"[^\x00-\x7f{mojibake.NATURAL}¬’–—“”«»§°²³½№™]"
+    clean = F.when(F.col("line").rlike(odd), F.regexp_replace(clean, rf"\S*{odd}\S*", " ")).otherwise(clean)
     broken = F.col("line").rlike(rf"\p{{L}}{_BREAK}\s*$") & F.coalesce("after", F.lit("")).rlike(r"^\s*\p{Ll}")
     joined = F.when(broken, F.concat(F.regexp_replace(clean, rf"\s?{_BREAK}\s*$", ""), F.regexp_extract("after", r"^\s*([\p{L}\p{N}]+)", 1))).otherwise(clean)
     followed = F.coalesce("before", F.lit("")).rlike(rf"\p{{L}}{_BREAK}\s*$") & F.col("line").rlike(r"^\s*\p{Ll}")
@@ -156,9 +160,12 @@ def _filtered(words: DataFrame, keep: DataFrame) -> DataFrame:
     return words.crossJoin(F.broadcast(row)).where(test).drop("bits")
 
 
-#: A number with a letter in the place of a digit, and a word with a digit in the place of a letter.
-ODD_NUMBER = r"(?:^|[\s(:])(?:[0-9]+[.,/]?)*(?:[0-9]+[OolISB][0-9.,/]*[0-9]|[Ool][0-9]{2,}|[0-9]{2,}[.,][OolI][0-9.,OolI]*|[0-9]{2,}[OolI])(?=$|[\s).,;:])"
-ODD_WORD = r"(?<![\p{L}\p{N}@._-])\p{L}+[01568]\p{Ll}+(?![\p{L}\p{N}@]*@)"
+#: A number with a letter in the place of a digit (identity papers have one in front, house numbers one
+#: behind), and a word with a digit in the place of a letter.
+ODD_NUMBER = (
+    r"(?:^|[\s(+:/-])(?:\d[\d.,/-]*[OolISBZb][\d.,/-]*\d[\dOolISBZb.,/-]*|\d[\d.,/-]*[OolISZ]|[OolISBZ]\d{1,5}|[Ool]\d{6,})(?=$|[\s).,;:/-])"
+)
+ODD_WORD = r"(?<![\p{L}\p{N}@._-])(?:\p{L}+[01568]\p{Ll}+|\p{Lu}{2,}[01568]\p{Lu}+|[056]\p{Ll}{3,})(?![\p{L}\p{N}]*@)"
 
 
 def defects(texts: DataFrame) -> DataFrame:
@@ -190,8 +197,10 @@ def defects(texts: DataFrame) -> DataFrame:
     hyphens = ends.where(hyphen).select(*key, F.lit("hyphen").alias("defect"), F.concat("raw_head", F.lit("-"), "raw_rest").alias("word"), F.lit(None).cast("string").alias("correction"))
     # Misread words.
     wrong = checkpointed(misreadings(spark, vocab))
-    words = _filtered(tokens(lines), wrong).join(wrong, "word").select(*key, F.lit("misread").alias("defect"), "word", "correction")
-    odd = lines.where(F.regexp_replace("line", r"\S*@\S*", " ").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
+    # Body lines only: what has no small letter is a title.
+    body = lines.where(F.col("line").rlike(r"\p{Ll}"))
+    words = _filtered(tokens(body), wrong).join(wrong, "word").select(*key, F.lit("misread").alias("defect"), "word", "correction")
+    odd = body.where(F.regexp_replace("line", r"\S*@\S*", " ").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
     removed = heads.select(*key, F.lit("header").alias("defect")).union(pages.select(*key, F.lit("page_number").alias("defect"))).select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
     misread = words.union(odd).join(removed.select(*key), key, "left_anti")
     return removed.union(hyphens).union(misread)
