@@ -40,8 +40,13 @@ def _mapped() -> str:
 
 def holds_mapped(text: Column) -> Column:
     """Whether a text holds a mapped character. Most texts have none beyond the usual letters, which a small class
-    tells; only the others are tried with the class of many ranges."""
-    return text.rlike(f"[^\\x00-\\x7F{mojibake.NATURAL}]") & text.rlike(_mapped())
+    tells; in the others, only characters that it does not hold are tried with the class of many ranges."""
+    usual = f"[^\\x00-\\x7F{mojibake.NATURAL}]"
+    return text.rlike(usual) & text.rlike(f"(?={usual}){_mapped()}")
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    return texts.where(holds_mapped(F.col("text"))).dropDuplicates(list(KEYS))
 
 
 def mapping_frame(spark: SparkSession) -> DataFrame:
@@ -69,7 +74,7 @@ def canonical(texts: DataFrame) -> DataFrame:
     or look so; words really written in another script stay, as do signs that look different from their plain form.
     """
     spark = texts.sparkSession
-    base = texts.where(holds_mapped(F.col("text"))).dropDuplicates(list(KEYS))
+    base = candidates(texts)
     tokens = base.select(*KEYS, F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{Cf}]+|[^\p{L}\p{M}\p{Cf}]+"), F.lit(0))).alias("at", "token"))
     hit = holds_mapped(F.col("token"))
     points = (
@@ -129,11 +134,11 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = inputs(spark, sf_dir)
-    found = canonical(texts).select(*KEYS)
-    # Records of problem 7 are no cases: the candidates are put to its test, with the statistics of all its texts.
-    candidates = texts.where((F.col("src") != "gold_labels") & holds_mapped(F.col("text")))
-    damaged = mojibake.restore(candidates, mojibake.inputs(spark, sf_dir), only_found=True, unusual=True).select("src", "row_key")
-    return found.join(damaged, ["src", "row_key"], "left_anti").select(*KEYS)
+    # Records of problem 7 are no cases: what is found is put to its test, with the statistics of all its texts.
+    found = canonical(texts).select(*KEYS).join(candidates(texts), list(KEYS))
+    gold = F.col("src") == "gold_labels"
+    sound = mojibake.sound_rows(found.select(*KEYS, F.when(~gold, F.col("text")).alias("text")), mojibake.inputs(spark, sf_dir), *KEYS)
+    return sound.select(*KEYS)
 
 
 def queries():

@@ -349,18 +349,31 @@ def _repairer(stats: Statistics, only_found: bool):
     return run
 
 
-def restore(texts: DataFrame, stats_of: DataFrame | None = None, only_found: bool = False, unusual: bool = False) -> DataFrame:
+def restore(texts: DataFrame, stats_of: DataFrame | None = None, only_found: bool = False) -> DataFrame:
     """Damaged records of ``src, row_key, text`` with the restored text.
 
     Columns out: ``src, row_key, restored, fixed INT`` (words restored), ``lost INT`` (words damaged but unknown).
     Null and empty texts are sound. Repeated rows come out once. The pair statistics cover all rows of
-    ``stats_of`` (by default the texts themselves). ``unusual`` says that all texts given hold an unusual character.
+    ``stats_of`` (by default the texts themselves).
     """
     stats = statistics(texts if stats_of is None else stats_of)
-    damaged = (texts if unusual else texts.where(F.col("text").rlike(UNUSUAL))).select("src", "row_key", "text")
+    damaged = texts.where(F.col("text").rlike(UNUSUAL)).select("src", "row_key", "text")
     return damaged.mapInArrow(_repairer(stats, only_found), "src string, row_key string, restored string, fixed int, lost int").dropDuplicates(["src", "row_key"])
 
 
+def sound_rows(texts: DataFrame, stats_of: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of the rows whose ``text`` is not damaged; null texts are sound."""
+    stats = statistics(stats_of)
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [not t or (LOST not in t and not any(repair(stats, t, True)[1:])) for t in batch.column(len(keep)).to_pylist()]
+            yield batch.select(list(keep)).filter(pa.array(ok))
+
+    return texts.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep))
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(rows_of(spark, sf_dir, "ocr_pages", "ocr_pages", "id", "text"), rows_of(spark, sf_dir, "privacy_findings", "privacy_findings", "id", "sample"))
 
