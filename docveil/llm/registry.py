@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.llm import canonical, language, mixing, mojibake, names, packing, scans, truncated
+from docveil.llm import canonical, language, mixing, mojibake, names, packing, personal, scans, truncated
 
-MODULES = (canonical, language, mixing, mojibake, names, packing, scans, truncated)
+MODULES = (canonical, language, mixing, mojibake, names, packing, personal, scans, truncated)
 
 
 def queries():
