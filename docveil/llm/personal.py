@@ -89,7 +89,7 @@ for _wrong, _right in (("cp1252", "cp1254"), ("cp1250", "cp1254"), ("cp1252", "c
     for _c, _to in mojibake._single(_wrong, _right).items():
         if chr(_c) not in mojibake.NATURAL:
             _BYTES.setdefault(chr(_c), _to)
-_SPLIT = re.compile(rf"(?<=[{UP}{LOW}])[-¬‐]\s?\n[ \t]*(?=[{LOW}])")
+_SPLIT = re.compile(rf"(?<=[{UP}{LOW}])(?:[-¬‐]\s?\n[ \t]*(?=[{LOW}])|¬\s?\n[ \t]*(?=[{UP}]))")
 _COMBINED = re.compile("[̀-ͯ]")
 
 
