@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.plans import intervals
+from docveil.plans import catalog, detection, intervals, texts
 
-MODULES = (intervals,)
+MODULES = (intervals, detection, catalog, texts)
 
 
 def queries():
