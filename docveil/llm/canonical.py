@@ -89,13 +89,14 @@ def canonical(texts: DataFrame) -> DataFrame:
         points.withColumn("other", F.max("foreign").over(word))
         .withColumn("kept", F.col("other") & F.col("kind").isin("letter", "accent"))
         .withColumn("kind", F.when(F.col("kept"), None).otherwise(F.col("kind")))
-        .select(*KEYS, "at", "pos", "kind", F.posexplode_outer(F.when(F.col("kept") & (F.col("kind").isNull()) & F.col("ch").rlike(r"^\p{L}$"), plain).otherwise(F.coalesce("units", plain))).alias("sub", "unit"))
-        .select(*KEYS, "at", "pos", "kind", "sub", "unit.s", "unit.ccc")
+        .select(*KEYS, "at", "pos", "ch", "kind", F.posexplode_outer(F.when(F.col("kept") & (F.col("kind").isNull()) & F.col("ch").rlike(r"^\p{L}$"), plain).otherwise(F.coalesce("units", plain))).alias("sub", "unit"))
+        .select(*KEYS, "at", "pos", "ch", "kind", "sub", "unit.s", "unit.ccc")
         .withColumn("starter", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(word.orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)))
     )
     rebuilt = units.groupBy(*KEYS, "at").agg(
         F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("starter", "ccc", "pos", "sub", "s")))).alias("u"),
         F.array_distinct(F.collect_list("kind")).alias("kinds"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("sub", F.lit(0)) == 0, F.struct("pos", "ch")))), lambda x: x["ch"]), "").alias("before"),
     )
     table_ = _compositions()
     empty = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
@@ -108,8 +109,11 @@ def canonical(texts: DataFrame) -> DataFrame:
         )
         return F.when(x["ccc"] == 0, F.struct(F.concat(acc["done"], acc["base"], acc["rest"]).alias("done"), x["s"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))).otherwise(mark)
 
-    rebuilt = rebuilt.select(*KEYS, "at", "kinds", F.aggregate("u", empty, step, lambda a: F.concat(a["done"], a["base"], a["rest"])).alias("token"))
-    whole = tokens.where(~hit).select(*KEYS, "at", F.array().cast("array<string>").alias("kinds"), "token").unionByName(rebuilt)
+    rebuilt = rebuilt.withColumn("token", F.aggregate("u", empty, step, lambda a: F.concat(a["done"], a["base"], a["rest"])))
+    # What is in that form already has no kinds.
+    none = F.array().cast("array<string>")
+    rebuilt = rebuilt.select(*KEYS, "at", F.when(F.col("token") == F.col("before"), none).otherwise(F.col("kinds")).alias("kinds"), "token")
+    whole = tokens.where(~hit).select(*KEYS, "at", none.alias("kinds"), "token").unionByName(rebuilt)
     return (
         whole.groupBy(*KEYS)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), "").alias("canonical"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"))

@@ -314,7 +314,7 @@ def _best(stats: Statistics, word: str, known: list[Path]) -> str:
     base, found, most, best = stats.score(f" {word} "), word, 0.0, None
     for path in known:
         r = reading(word, path)
-        if r != word and _gain(stats, word, base, r, path) > 0:
+        if r != word and not STRANGE.search(r) and _gain(stats, word, base, r, path) > 0:
             found, best = r, path
             break
     else:

@@ -82,7 +82,9 @@ NOT_NAMES = frozenset(
     "EKLER Vekaletname Fatura Tutanak Enclosures Anlagen Allegati Pièces Daire Kat Dr Av Mr Ms".split()
 )
 
-_ODD = re.compile(f"[^\x00-\x7f{mojibake.NATURAL}’‘“”–—«»…°§€²³½¬]")
+_SIGNS = "’‘“”–—«»…°§€²³½¬"
+_PAIR = re.compile(f"[ÃÄÅÂ][{_SIGNS}]")
+_ODD = re.compile(f"[^\x00-\x7f{mojibake.NATURAL}{_SIGNS}]|{_PAIR.pattern}")
 _PLAIN = {chr(c): to for c, (to, _) in mapping().items()}
 _BYTES = {}
 for _wrong, _right in (("cp1252", "cp1254"), ("cp1250", "cp1254"), ("cp1252", "cp857"), ("cp850", "cp1254"), ("latin-1", "cp857")):
@@ -148,7 +150,7 @@ class Plain:
 def _undo(word: str) -> str | list[tuple[int, str]]:
     """A word without look-alikes and damage: single changes by place, or the whole word read anew."""
     sound = lambda r: not _ODD.search(r)
-    if not all(c in _PLAIN or _COMBINED.match(c) or not _ODD.match(c) for c in word):
+    if _PAIR.search(word) or not all(c in _PLAIN or _COMBINED.match(c) or not _ODD.match(c) for c in word):
         best = min((r for r, path in mojibake.readings(word) if path[0] != "bytes" and sound(r)), key=len, default=None)
         if best is not None:
             return best
