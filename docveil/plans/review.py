@@ -102,6 +102,35 @@ QUERIES = {
 }
 
 
+def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the scanned pages; the given names are those of the recorded findings."""
+    from docveil.operators import person_names as pn
+
+    known = pn.given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
+    pages = table(spark, sf_dir, "ocr_pages").select("id", "text").dropDuplicates(["id"])
+    return pn.person_names(pages, "id", "text", known)
+
+
+def part_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a document's parts by the detector against those of reviewers: a full outer join on the part."""
+    f = table(spark, sf_dir, "privacy_findings").dropDuplicates(["id"])
+    by = lambda where, name: f.where(where).groupBy("document_id", "part_name").agg(F.count("*").alias(name), F.count_distinct("category").alias(f"{name}_categories"))
+    j = by("source in ('detector', 'ocr')", "detected").join(by("source = 'manual'", "reviewed"), ["document_id", "part_name"], "full")
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select("document_id", "part_name", z("detected"), z("reviewed"), z("detected_categories"), z("reviewed_categories"), (F.coalesce("detected", F.lit(0)) - F.coalesce("reviewed", F.lit(0))).alias("difference"))
+
+
+PARTS = """
+WITH f AS (SELECT DISTINCT * FROM privacy_findings),
+d AS (SELECT document_id, part_name, count(*) AS detected, count(DISTINCT category) AS detected_categories FROM f WHERE source IN ('detector', 'ocr') GROUP BY ALL),
+r AS (SELECT document_id, part_name, count(*) AS reviewed, count(DISTINCT category) AS reviewed_categories FROM f WHERE source = 'manual' GROUP BY ALL)
+SELECT document_id, part_name, coalesce(detected, 0) AS detected, coalesce(reviewed, 0) AS reviewed, coalesce(detected_categories, 0) AS detected_categories, coalesce(reviewed_categories, 0) AS reviewed_categories,
+  coalesce(detected, 0) - coalesce(reviewed, 0) AS difference
+FROM d FULL OUTER JOIN r USING (document_id, part_name)
+"""
+
+QUERIES |= {"person_names": (person_names, None), "part_coverage": (part_coverage, PARTS)}
+
 def queries():
     return {k: q for k, (q, _) in QUERIES.items()}
 
