@@ -65,7 +65,7 @@ def page_number(line: Column) -> Column:
 def _skeleton(line: Column) -> Column:
     s = F.regexp_replace(_folded(line), rf"\s+(?:{PAGE_WORDS})\.?\s*[0-9oıil]+\s*$", "")
     # ASCII alone is kept: what was wrongly decoded differs in the rest.
-    s = F.regexp_replace(s, r"[^a-z0-9]+", "")
+    s = F.regexp_replace(F.translate(s, "ı", "i"), r"[^a-z0-9]+", "")
     for a, b in SKELETON_PAIRS:
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.translate(s, *SKELETON)
@@ -82,15 +82,22 @@ def _sets_off(line: str = "line") -> Column:
 def headers(lines: DataFrame) -> DataFrame:
     """``src, row_key, line_no``: edge lines whose skeleton recurs on two pages of the document, or twice in a gold text."""
     near = lines.where(((F.col("src") == "gold_labels") | (F.col("edge") <= 3)) & _sets_off() & ~page_number(F.col("line"))).withColumn("bone", _skeleton(F.col("line"))).where(F.length("bone") >= 4)
-    near = near.select("src", "row_key", "doc", "page", "line_no", "bone", F.when(F.col("src") == "gold_labels", F.col("line_no")).otherwise(F.col("page")).alias("at"))
+    near = near.select("src", "row_key", "doc", "line_no", "bone", "top", "edge", F.when(F.col("src") == "gold_labels", F.col("line_no")).otherwise(F.col("page")).alias("at"))
     seen = near.groupBy("src", "doc", "bone").agg(F.count_distinct("at").alias("n")).where("n >= 2").select("src", "doc", "bone")
     same = near.join(seen, ["src", "doc", "bone"], "left_semi")
-    # Not letter for letter: compared with the document's own recurring lines, of which there are a few.
-    fuzzy = near.join(seen, ["src", "doc", "bone"], "left_anti").join(seen.withColumnRenamed("bone", "known"), ["src", "doc"]).where(
-        (F.abs(F.length("bone") - F.length("known")) <= 3) & (F.levenshtein("bone", "known", 5) >= 0) & (F.levenshtein("bone", "known", 5) <= F.greatest(F.lit(1), F.floor(F.length("known") / 6)))
-    )
+    # Not letter for letter: compared with the document's own recurring lines, of which there are a few, and with the
+    # like lines of the pages next to it, as no two may be the same.
+    close = lambda other: (F.abs(F.length("bone") - F.length(other)) <= 3) & F.levenshtein("bone", other, 8).between(0, F.greatest(F.lit(1), F.floor(F.length("bone") / 6)))
+    fuzzy = near.join(seen, ["src", "doc", "bone"], "left_anti").join(seen.withColumnRenamed("bone", "known"), ["src", "doc"]).where(close(F.col("known")))
+    w = Window.partitionBy("src", "doc", F.when(F.col("src") == "gold_labels", False).otherwise(F.col("top"))).orderBy("at", "line_no", "row_key")
+    like = F.lit(False)
+    for k in range(1, 5):
+        for side in (F.lag, F.lead):
+            other = side(F.struct("bone", "at"), k).over(w)
+            like = like | F.coalesce((other["at"] != F.col("at")) & (F.length("bone") >= 10) & close(other["bone"]), F.lit(False))
+    beside = near.withColumn("like", like).where("like")
     cols = ["src", "row_key", "line_no"]
-    return same.select(*cols).union(fuzzy.select(*cols)).distinct()
+    return same.select(*cols).union(fuzzy.select(*cols)).union(beside.select(*cols)).distinct()
 
 
 _WORD = r"[\p{L}\p{N}]+(?:[-‐][\p{L}\p{N}]+)*"
