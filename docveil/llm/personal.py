@@ -373,7 +373,7 @@ def redacted(raw: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 _PLACEHOLDER = re.compile(r"^\[?(?:(?:PERSON|PHONE|ADDRESS|EMAIL|NATIONAL_ID|PASSPORT)[_: ]+)?\s*")
-_WELL_FORMED = r"^\[[A-Z_]+_[0-9]+(?:_REDACTED)?\]$"
+_WELL_FORMED = r"^\[[A-Z_]+_[0-9]{1,8}(?:_REDACTED)?\]$"
 
 
 def _finder(given: list[str]):
