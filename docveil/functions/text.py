@@ -147,3 +147,22 @@ def strip_markup(c: Column) -> Column:
 def sanitize_metadata(entries: Column) -> Column:
     """Of a map of strings: blocked keys hidden, values cut to 200 characters."""
     return F.transform_values(entries, lambda k, v: F.when(F.lower(k).isin(*BLOCKED_KEYS), "[redacted]").otherwise(F.substring(v, 1, 200)))
+
+
+def explain(category: Column, known: dict[str, str]) -> Column:
+    """What a category means; an unknown one is spelt out."""
+    out = F.initcap(F.replace(category, F.lit("_"), F.lit(" ")))
+    for name, meaning in known.items():
+        out = F.when(category == name, meaning).otherwise(out)
+    return out
+
+
+def mentions(text: Column, words: tuple[str, ...], window: int = 5_000) -> Column:
+    """Whether one of the words is in the lower-cased beginning of the text."""
+    low = F.lower(F.substring(text, 1, window))
+    return F.coalesce(reduce(Column.__or__, (low.contains(w) for w in words)), F.lit(False))
+
+
+def count_mentions(text: Column, words: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(Column.__add__, (low.contains(w).cast("int") for w in words))
