@@ -258,15 +258,16 @@ def nodes_of(names: DataFrame) -> DataFrame:
     return p.unionByName(c).withColumn("node", F.xxhash64("kind", "word", "given", "middle"))
 
 
-def _given_keys(given: str):
-    """Keys under which given names within one edit meet: the name itself and with each letter left out; and the
-    stem of a short form in -o, -os, -is or -i with the beginnings it may stand for."""
+def _given_keys(given: str, start: str, end: str):
+    """Keys under which given names within one edit meet: the name itself and with each letter left out; and, marked
+    apart, the stem of a short form in -o, -os, -is or -i and the beginnings such a stem may be. The two sides of the
+    join mark them the other way round, so that stems meet beginnings only."""
     g = F.col(given)
     out = F.transform(F.sequence(F.lit(1), F.length(g)), lambda i: F.concat(F.substr(g, F.lit(1), i - 1), F.substr(g, i + 1)))
     swaps = F.transform(F.sequence(F.lit(1), F.length(g) - 1), lambda i: F.concat(F.substr(g, F.lit(1), i - 1), F.substr(g, i + 1, F.lit(1)), F.substr(g, i, F.lit(1)), F.substr(g, i + 2)))
     stem = F.regexp_replace(g, "(?:os|is|o|i)$", "")
-    starts = F.transform(F.sequence(F.lit(2), F.least(F.lit(5), F.length(g))), lambda i: F.concat(F.lit("<"), F.substr(g, F.lit(1), i)))
-    hypocoristic = F.when((F.length(g) <= 6) & (F.length(stem) >= 2) & (F.length(stem) < F.length(g)), F.array(F.concat(F.lit("<"), stem))).otherwise(F.array().cast("array<string>"))
+    starts = F.transform(F.sequence(F.lit(2), F.least(F.lit(5), F.length(g))), lambda i: F.concat(F.lit(start), F.substr(g, F.lit(1), i)))
+    hypocoristic = F.when((F.length(g) <= 6) & (F.length(stem) >= 2) & (F.length(stem) < F.length(g)), F.array(F.concat(F.lit(end), stem))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(g), F.when(F.length(g) >= 4, F.concat(out, swaps)).otherwise(F.array().cast("array<string>")), starts, hypocoristic))
 
 
@@ -275,11 +276,11 @@ def links(nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
     strong = nodes.where(~F.col("weak")).groupBy("node", "kind", "word", "given", "middle").agg(F.max("client").alias("client"), F.count("*").alias("n"))
     known = nodes.where("kind = 'P'").groupBy("given").agg(F.count("*").alias("g_n"))
     strong = strong.join(known, "given", "left").withColumn("g_n", F.coalesce("g_n", F.lit(1)))
-    keyed = strong.withColumn("keys", F.when(F.col("kind") == "C", F.array("given")).otherwise(_given_keys("given")))
+    keyed = lambda *marks: strong.withColumn("keys", F.when(F.col("kind") == "C", F.array("given")).otherwise(_given_keys("given", *marks)))
     m = neighbours.select("q", "c")
     kw = F.concat("kind", "word")
-    left = keyed.withColumn("q", kw).join(m, "q").select(F.col("node").alias("a"), "kind", "c", F.explode("keys").alias("key"), F.col("given").alias("ga"), F.col("middle").alias("ma"), F.col("g_n").alias("na"))
-    right = keyed.where("client").select(F.col("node").alias("b"), kw.alias("c"), F.explode("keys").alias("key"), F.col("given").alias("gb"), F.col("middle").alias("mb"), F.col("g_n").alias("nb"))
+    left = keyed("<", ">").withColumn("q", kw).join(m, "q").select(F.col("node").alias("a"), "kind", "c", F.explode("keys").alias("key"), F.col("given").alias("ga"), F.col("middle").alias("ma"), F.col("g_n").alias("na"))
+    right = keyed(">", "<").where("client").select(F.col("node").alias("b"), kw.alias("c"), F.explode("keys").alias("key"), F.col("given").alias("gb"), F.col("middle").alias("mb"), F.col("g_n").alias("nb"))
     pairs = left.join(right, ["c", "key"]).where("a <> b").dropDuplicates(["a", "b"])
     lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
     rare = lo <= F.lit(RARER) * hi + 1
