@@ -44,6 +44,14 @@ def test_companies(spark):
     assert got == ["Kartal Lojistik Limited Şirketi", "MERKEZ İNŞAAT LİMİTED ŞİRKETİ"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Av. Mehmet Ali Yılmaz geldi", ["Mehmet Ali Yılmaz"]), ("tanık Ayşe Kaya dinlendi", ["Ayşe Kaya"]), ("Davalı Kartal Lojistik Limited Şirketi", []), ("Sayın Gül Sokak No: 5", []), ("davacı gelmedi", [])],
+)
+def test_people(spark, text, want):
+    assert samples(spark, text, "natural_person_name") == want
+
+
 def test_second_authority_is_found_after_a_named_court(spark):
     got = samples(spark, "İstanbul Anadolu 4. Asliye Ceza Mahkemesi kararı Kadıköy Cumhuriyet Başsavcılığı'na gönderilmiştir", "court_or_authority")
     assert "4. Asliye Ceza Mahkemesi" in got
