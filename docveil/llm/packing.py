@@ -129,8 +129,10 @@ def packed(docs: DataFrame, capacities: DataFrame, windows: int = WINDOWS) -> Da
     kept as they come: a doc_id given twice is packed twice.
     """
     sized = checkpointed(token_counts(docs, "doc_id").where("tokens > 0"))
-    cap = F.broadcast(capacities.where("capacity_tokens > 0 and container is not null").select("container", "capacity_tokens").distinct())
-    pieces = sized.crossJoin(cap).select(
+    # A few rows, one per container.
+    caps = capacities.where("capacity_tokens > 0 and container is not null").select("container", F.col("capacity_tokens").cast("int")).distinct().collect()
+    listed = F.array(*(F.struct(F.lit(c).alias("container"), F.lit(n).alias("capacity_tokens")) for c, n in sorted(map(tuple, caps)))) if caps else F.expr("cast(array() as array<struct<container:string,capacity_tokens:int>>)")
+    pieces = sized.select("doc_id", "tokens", F.explode(listed).alias("cap")).select("doc_id", "tokens", "cap.*").select(
         "container", "capacity_tokens", "doc_id", F.posexplode(F.expr("sequence(0L, greatest(ceil(tokens / capacity_tokens) - 1, 0L))")).alias("piece", "p"), "tokens"
     ).select("container", "capacity_tokens", "doc_id", "piece", (F.col("p") * F.col("capacity_tokens")).alias("first_token"), F.least(F.col("capacity_tokens").cast("long"), F.col("tokens") - F.col("p") * F.col("capacity_tokens")).alias("tokens"))
     full = pieces.where("tokens = capacity_tokens").select("container", "capacity_tokens", F.lit(-1).cast("long").alias("shard"), F.xxhash64("doc_id", "piece").alias("window"), "doc_id", "piece", "first_token", "tokens")
