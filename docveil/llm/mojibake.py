@@ -248,19 +248,17 @@ def repair(stats: Statistics, text: str, first: bool = False) -> tuple[str, int,
 
     A mapping that restored one word is tried first on the following ones. With ``first``, the first finding ends it.
     """
-    s = symbols(text)
-    x = IMPROBABLE - stats.w[s[:-1], s[1:]]
     fixed, lost, todo, at = 0, 0, [], 0
-    for a, b in segments(x):
-        a, b = max(a, at), b + 1
-        if a >= b:
+    # Improbable runs are sought about the unusual characters, each with the word it stands in.
+    for m in STRANGE.finditer(text):
+        if m.start() < at:
             continue
-        while a > at and text[a - 1] not in " \n\t":
-            a -= 1
-        while b < len(text) and text[b] not in " \n\t":
-            b += 1
+        a = max(text.rfind(c, at, m.start()) for c in " \n\t") + 1
+        b = min((i for c in " \n\t" if (i := text.find(c, m.start())) >= 0), default=len(text))
+        a = max(a, at)
         at = b
-        if STRANGE.search(text, a, b):
+        s = symbols(text[max(0, a - 1) : b + 1])
+        if next(segments(IMPROBABLE - stats.w[s[:-1], s[1:]]), None):
             todo.append((a, b))
     out, at, known = [], 0, []
     for a, b in todo:
