@@ -44,17 +44,27 @@ def _folded(line: Column) -> Column:
     return F.lower(F.translate(F.when(odd, F.regexp_replace(plain, r"[\p{Cf}]", "")).otherwise(line), "İI", "iı"))
 
 
+def _split(texts: DataFrame) -> DataFrame:
+    return texts.where("trim(text) <> ''").select("src", "row_key", "doc", "page", F.split(F.regexp_replace("text", "\r", ""), "\n").alias("ls"))
+
+
 def lines_of(texts: DataFrame) -> DataFrame:
-    """``src, row_key, doc, page, line_no, line, before, after, edge``: lines with their neighbours as they stand, and
-    the rank of the line among those not blank, from the nearer end (1 is the edge)."""
-    arr = F.split(F.regexp_replace("text", "\r", ""), "\n")
-    t = texts.where("trim(text) <> ''").select("src", "row_key", "doc", "page", arr.alias("ls"))
-    t = t.withColumn("full", F.expr("filter(transform(ls, (x, i) -> IF(trim(x) <> '', i, -1)), i -> i >= 0)"))
-    return t.select("src", "row_key", "doc", "page", F.posexplode("ls").alias("i", "line"), "ls", "full").where(F.trim("line") != "").select(
-        "src", "row_key", "doc", "page", (F.col("i") + 1).cast("long").alias("line_no"), "line",
-        F.when(F.col("i") > 0, F.get("ls", F.col("i") - 1)).alias("before"), F.get("ls", F.col("i") + 1).alias("after"),
-        F.least(F.array_position("full", F.col("i")), F.size("full") + 1 - F.array_position("full", F.col("i"))).alias("edge"),
-        (F.array_position("full", F.col("i")) * 2 <= F.size("full")).alias("top"),
+    """``src, row_key, line_no, line, before, after``: lines that are not blank, with their neighbours as they stand."""
+    t = _split(texts)
+    n, none = F.size("ls"), F.array(F.lit(None).cast("string"))
+    zipped = F.arrays_zip(F.col("ls").alias("line"), F.concat(none, F.slice("ls", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("ls", F.lit(2), n), none).alias("after"))
+    return t.select("src", "row_key", F.posexplode(zipped).alias("i", "x")).select("src", "row_key", (F.col("i") + 1).cast("long").alias("line_no"), "x.line", "x.before", "x.after").where(F.trim("line") != "")
+
+
+def edge_lines(texts: DataFrame, reach: int = 3) -> DataFrame:
+    """The first and last lines of each page that are not blank, all lines of a gold text: as in ``lines_of``, with
+    ``doc, page``, the rank ``edge`` from the nearer end (1 is the edge) and whether that is the ``top``."""
+    t = _split(texts).withColumn("full", F.expr("filter(transform(ls, (x, i) -> IF(trim(x) <> '', i, -1)), i -> i >= 0)"))
+    ends = F.array_distinct(F.concat(F.slice("full", 1, reach), F.slice("full", F.greatest(F.size("full") - reach + 1, F.lit(1)), F.lit(reach))))
+    t = t.where(F.size("full") > 0).withColumn("i", F.explode(F.when(F.col("src") == "gold_labels", F.col("full")).otherwise(ends))).withColumn("rank", F.array_position("full", F.col("i")))
+    return t.select(
+        "src", "row_key", "doc", "page", (F.col("i") + 1).cast("long").alias("line_no"), F.get("ls", F.col("i")).alias("line"), F.when(F.col("i") > 0, F.get("ls", F.col("i") - 1)).alias("before"), F.get("ls", F.col("i") + 1).alias("after"),
+        F.least(F.col("rank"), F.size("full") + 1 - F.col("rank")).alias("edge"), (F.col("rank") * 2 <= F.size("full")).alias("top"),
     )
 
 
@@ -81,7 +91,7 @@ def _sets_off(line: str = "line") -> Column:
 
 def headers(lines: DataFrame) -> DataFrame:
     """``src, row_key, line_no``: edge lines whose skeleton recurs on two pages of the document, or twice in a gold text."""
-    near = lines.where(((F.col("src") == "gold_labels") | (F.col("edge") <= 3)) & _sets_off() & ~page_number(F.col("line"))).withColumn("bone", _skeleton(F.col("line"))).where(F.length("bone") >= 4)
+    near = lines.where(_sets_off() & ~page_number(F.col("line"))).withColumn("bone", _skeleton(F.col("line"))).where(F.length("bone") >= 4)
     near = near.select("src", "row_key", "doc", "line_no", "bone", "top", "edge", F.when(F.col("src") == "gold_labels", F.col("line_no")).otherwise(F.col("page")).alias("at"))
     seen = near.groupBy("src", "doc", "bone").agg(F.count_distinct("at").alias("n")).where("n >= 2").select("src", "doc", "bone")
     same = near.join(seen, ["src", "doc", "bone"], "left_semi")
@@ -182,17 +192,19 @@ def defects(texts: DataFrame) -> DataFrame:
     texts have none. A page given twice counts once, two scans of one page are one page as regards recurring headers.
     """
     spark = texts.sparkSession
-    texts = texts.dropDuplicates(["src", "row_key"])
     lines = lines_of(texts)
     key = ["src", "row_key", "line_no"]
     gold = F.col("src") == "gold_labels"
+    edges = checkpointed(edge_lines(texts))
     # In a page, a number stands at the edge; in the text of a whole document, not below the rows of a table.
     in_table = F.coalesce("before", F.lit("")).rlike(r"^\s*\d+\s{2,}\S")
-    pages = lines.where(page_number(F.col("line")) & ((~gold & (F.col("edge") <= 2)) | (gold & ~in_table))).select(*key)
-    heads = headers(lines)
+    pages = edges.where(page_number(F.col("line")) & ((~gold & (F.col("edge") <= 2)) | (gold & ~in_table))).select(*key)
+    removed = headers(edges).select(*key, F.lit("header").alias("defect")).union(pages.select(*key, F.lit("page_number").alias("defect")))
+    nothing = F.lit(None).cast("string")
+    removed = checkpointed(removed.distinct()).select("*", nothing.alias("word"), nothing.alias("correction"))
     vocab = checkpointed(vocabulary(tokens(lines)))
     # Hyphens.
-    ends = split_ends(lines)
+    ends = checkpointed(split_ends(lines))
     ends = ends.withColumn("one", F.concat("head", "rest")).withColumn("two", F.concat("head", F.lit("-"), "rest"))
     looked = checkpointed(vocab.join(ends.select(F.explode(F.array("one", "two")).alias("word")).distinct(), "word", "left_semi"))
     ends = ends.join(looked.select(F.col("word").alias("one"), F.col("n").alias("n_one")), "one", "left").join(looked.select(F.col("word").alias("two"), F.col("n").alias("n_two")), "two", "left")
@@ -207,10 +219,9 @@ def defects(texts: DataFrame) -> DataFrame:
     # Body lines only: what has no small letter is a title.
     body = lines.where(F.col("line").rlike(r"\p{Ll}"))
     words = _filtered(tokens(body), wrong).join(wrong, "word").select(*key, F.lit("misread").alias("defect"), "word", "correction")
-    odd = body.where(F.regexp_replace("line", r"\S*@\S*", " ").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
-    removed = heads.select(*key, F.lit("header").alias("defect")).union(pages.select(*key, F.lit("page_number").alias("defect"))).select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
+    odd = body.where(F.col("line").rlike(r"[0-9]\p{L}|\p{L}[0-9]") & F.regexp_replace("line", r"\S*@\S*", " ").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
     misread = words.union(odd).join(removed.select(*key), key, "left_anti")
-    return removed.union(hyphens).union(misread)
+    return removed.union(hyphens).union(misread).distinct()
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
