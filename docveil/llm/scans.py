@@ -130,16 +130,25 @@ def split_ends(lines: DataFrame) -> DataFrame:
     )
 
 
+def _no_addresses(line: str) -> Column:
+    return F.when(F.contains(line, F.lit("@")), F.regexp_replace(line, r"\S*@\S*", " ")).otherwise(F.col(line))
+
+
+def _breaks(line: str) -> Column:
+    """The line ends in a break sign after a letter."""
+    return F.coalesce(F.right(F.rtrim(line), F.lit(2)).rlike(rf"^\p{{L}}{_BREAK}$"), F.lit(False))
+
+
 def tokens(lines: DataFrame) -> DataFrame:
     """``src, row_key, line_no, word``: words of the lines; a word split at the line's end is put together and counts
     for the line it begins in. Words of addresses in the net are left out."""
-    clean = F.regexp_replace("line", r"\S*@\S*", " ")
+    clean = _no_addresses("line")
     # Words with a character of problems 5 or 7 are theirs.
     odd = rf"[^\x00-\x7f{mojibake.NATURAL}¬’–—“”«»§°²³½№™]"
     clean = F.when(F.col("line").rlike(odd), F.regexp_replace(clean, rf"\S*{odd}\S*", " ")).otherwise(clean)
-    broken = F.col("line").rlike(rf"\p{{L}}{_BREAK}\s*$") & F.coalesce("after", F.lit("")).rlike(r"^\s*\p{Ll}")
+    broken = _breaks("line") & F.coalesce("after", F.lit("")).rlike(r"^\s*\p{Ll}")
     joined = F.when(broken, F.concat(F.regexp_replace(clean, rf"\s?{_BREAK}\s*$", ""), F.regexp_extract("after", r"^\s*([\p{L}\p{N}]+)", 1))).otherwise(clean)
-    followed = F.coalesce("before", F.lit("")).rlike(rf"\p{{L}}{_BREAK}\s*$") & F.col("line").rlike(r"^\s*\p{Ll}")
+    followed = _breaks("before") & F.col("line").rlike(r"^\s*\p{Ll}")
     body = F.when(followed, F.regexp_replace(joined, r"^\s*[\p{L}\p{N}]+", "")).otherwise(joined)
     return lines.select("src", "row_key", "line_no", F.explode(F.regexp_extract_all(F.lower(F.translate(body, "İI", "iı")), F.lit(_WORD), F.lit(0))).alias("word"))
 
@@ -163,6 +172,8 @@ def misreadings(spark: SparkSession, vocab: DataFrame) -> DataFrame:
     return hits.groupBy("word").agg(F.max_by("correction", F.struct("m", "correction")).alias("correction"))
 
 
+#: Misread words that are broadcast, at most: about 10 MB.
+BROADCAST_ROWS = 200_000
 #: Longs in the word filter; a word is one bit of them.
 _FILTER = 1 << 15
 
@@ -218,8 +229,10 @@ def defects(texts: DataFrame) -> DataFrame:
     wrong = checkpointed(misreadings(spark, vocab))
     # Body lines only: what has no small letter is a title.
     body = lines.where(F.col("line").rlike(r"\p{Ll}"))
-    words = _filtered(tokens(body), wrong).join(wrong, "word").select(*key, F.lit("misread").alias("defect"), "word", "correction")
-    odd = body.where(F.col("line").rlike(r"[0-9]\p{L}|\p{L}[0-9]") & F.regexp_replace("line", r"\S*@\S*", " ").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
+    # A short list goes to every task; a longer one is met by a shuffle, of the words that may be in it.
+    hit = tokens(body).join(F.broadcast(wrong), "word") if wrong.count() <= BROADCAST_ROWS else _filtered(tokens(body), wrong).join(wrong, "word")
+    words = hit.select(*key, F.lit("misread").alias("defect"), "word", "correction")
+    odd = body.where(F.col("line").rlike(r"[0-9]\p{L}|\p{L}[0-9]") & _no_addresses("line").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
     misread = words.union(odd).join(removed.select(*key), key, "left_anti")
     return removed.union(hyphens).union(misread).distinct()
 
