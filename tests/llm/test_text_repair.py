@@ -124,3 +124,11 @@ def test_truncated(spark):
     got = {r["doc_id"]: r["kind"] for r in truncated.truncated(df).collect()}
     assert got == {100: "sentence", 101: "word", 102: "omission"}
     assert truncated.truncated(df.limit(0)).count() == 0
+
+
+def test_word_filter_keeps_all_that_may_match(spark):
+    words = spark.createDataFrame([(i, f"w{i}") for i in range(3000)], "k long, word string")
+    keep = words.where("k % 7 = 0").select("word", F.lit("x").alias("correction"))
+    got = scans._filtered(words, keep)
+    assert got.columns == ["k", "word"]
+    assert got.join(keep, "word").count() == keep.count() and got.count() < 500
