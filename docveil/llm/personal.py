@@ -11,6 +11,7 @@ at line ends are undone, and maps offsets back to the text as stored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -36,6 +37,12 @@ CONTEXT = ("health_data", "criminal_allegation", "privileged_or_confidential")
 UP = "A-ZÇĞİÖŞÜÂÎÛÉÈÊËÀÄÔÏÙÒÌÅÆŒÁÍÓÚÑ"
 LOW = "a-zçğıöşüâîûéèêëàäôïùòìåæœßáíóúñ"
 
+def spellings(word: str) -> set[str]:
+    """The word, and as typed without accents, with and without the dotless i."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    return {word, bare, bare.replace("ı", "i")}
+
+
 # Words of the five languages that tell kinds of values apart.
 AT = ("@", "(at)", "[at]", "{at}", "(AT)", "[AT]")
 IDENTITY = (
@@ -48,11 +55,11 @@ PHONE = (
     "Ulaşım bilgileri", "ulaşım bilgileri", "reached on", "raised with", "Rufnummer", "erreichbar", "joignable", "raggiungibile", "GSM", "Gsm", "Mobil", "Cep", "randevu", "yazabilir ya da", "or at",
 )
 NO_PHONE = re.compile(
-    r"(?:vergi|\bvkn|takip|barkod|barcode|referans|reference|référence|riferimento|beleg|\bbuild|sürüm|yazılımın|\biban|\btr\d\d|\bhesa[bp]|\bkonto|\baccount|\bcompte|\bconto|sicil|mersis|tckn|kimlik|identi|\btc no|pasaport|passport|passnummer|passeport|passaporto|reisepass"
+    r"(?:vergi|\bvkn|takip|barkod|barcode|referans|reference|référence|riferimento|beleg|\bbuild|sürüm|surum|yazılımın|yazilimin|\biban|\btr\d\d|\bhesa[bp]|\bkonto|\baccount|\bcompte|\bconto|sicil|mersis|tckn|kimlik|identi|\btc no|pasaport|passport|passnummer|passeport|passaporto|reisepass"
     r"|\besas|\bdosya|\bfile\b|\baffaire|\bcausa|verfahren|parsel|\busd\b|\beur\b|\btl\b|₺|€|\$)[^.;,)]{0,22}$",
     re.I,
 )
-TR_STREET = r"Mah(?:\.|allesi)|Cad(?:\.|desi)|Blv\.|Bulv(?:\.|arı)|So?k(?:\.|ak|ağı)|Sk\.|MAH(?:\.|ALLESİ|ALLESI)|CAD(?:\.|DESİ|DESI)|BLV\.|BULVARI|SOK(?:\.|AK|AĞI)|SK\."
+TR_STREET = r"Mah(?:\.|alles\w)|Cad(?:\.|des\w)|Blv\.|Bulv(?:\.|ar\w)|So?k(?:\.|ak|a\w\w)|Sk\.|MAH(?:\.|ALLES\w)|CAD(?:\.|DES\w)|BLV\.|BULVAR\w|SOK(?:\.|AK|A\w\w)|SK\."
 TR_MORE = r"(?:Mah|Cad|Blv|Bulv|Sok|Sk|Apt|Apartman|No|NO|Kat|Daire|D|K|MAH|CAD|SOK|APT|Sit|Blok)\b"
 FR_STREET = r"rue|avenue|av\.|bd|boulevard|chemin|place|allée|impasse|quai|route|cours|square|passage"
 DE_STREET = r"[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Aa]llee|[Pp]latz|[Gg]asse|[Rr]ing|[Dd]amm|[Uu]fer|[Cc]haussee|[Ss]teig|[Pp]fad"
@@ -72,8 +79,8 @@ ROLES = (
 )
 FIRM = re.compile(
     rf"[ \n]*(?:[{UP}][{UP}{LOW}.&'’-]*[ \n]+){{0,4}}?(?:A\.?\s?Ş\.?|A\.S\.|AŞ|AS|Ltd|LTD|LİMİTED|Limited|San\.|SAN\.|Tic\.|TİC\.|Inc|LLP|LLC|GmbH|AG|KG|SARL|SAS|S\.p\.A|S\.r\.l|S\.A\.|Holdings?|Partners|Logistics|Co\.|&|Anonim|ANONİM"
-    r"|Gıda|GIDA|Kimya|KİMYA|Makine|MAKİNE|Tekstil|TEKSTİL|Turizm|TURİZM|Otomotiv|OTOMOTİV|Lojistik|LOJİSTİK|Elektronik|ELEKTRONİK|Yazılım|YAZILIM|Enerji|ENERJİ|Madencilik|MADENCİLİK|Mobilya|MOBİLYA|Ambalaj|AMBALAJ|Yayıncılık|YAYINCILIK"
-    r"|Danışmanlık|DANIŞMANLIK|Denizcilik|DENİZCİLİK|İnşaat|İNŞAAT|Sağlık|SAĞLIK|Servizi|Handels|Associés|Mahkemesi|MAHKEMESİ|Müdürlüğü|Noterliği|Sicili)(?![\w])"
+    r"|Gıda|Gida|GIDA|Kimya|KİMYA|KIMYA|Makine|MAKİNE|MAKINE|Tekstil|TEKSTİL|TEKSTIL|Turizm|TURİZM|TURIZM|Otomotiv|OTOMOTİV|OTOMOTIV|Lojistik|LOJİSTİK|LOJISTIK|Elektronik|ELEKTRONİK|ELEKTRONIK|Yazılım|Yazilim|YAZILIM|Enerji|ENERJİ|ENERJI|Madencilik|MADENCİLİK|MADENCILIK|Mobilya|MOBİLYA|MOBILYA|Ambalaj|AMBALAJ|Yayıncılık|Yayincilik|YAYINCILIK"
+    r"|Danışmanlık|Danismanlik|DANIŞMANLIK|DANISMANLIK|Denizcilik|DENİZCİLİK|DENIZCILIK|İnşaat|Insaat|İNŞAAT|INSAAT|Sağlık|Saglik|SAĞLIK|SAGLIK|Servizi|Handels|Associés|Mahkemesi|MAHKEMESİ|Müdürlüğü|Noterliği|Sicili)(?![\w])"
 )
 #: Capitalised words that follow or precede a given name without being part of a person's name.
 NOT_NAMES = frozenset(
@@ -91,7 +98,7 @@ for _wrong, _right in (("cp1252", "cp1254"), ("cp1250", "cp1254"), ("cp1252", "c
     for _c, _to in mojibake._single(_wrong, _right).items():
         if chr(_c) not in mojibake.NATURAL:
             _BYTES.setdefault(chr(_c), _to)
-_SPLIT = re.compile(rf"(?<=[{UP}{LOW}])(?:[-¬‐]\s?\n[ \t]*(?=[{LOW}])|¬\s?\n[ \t]*(?=[{UP}]))")
+_SPLIT = re.compile(rf"(?<=[{UP}{LOW}])(?:[-¬‐]\s?\n[ \t]*(?=[{LOW}])|¬\s?\n[ \t]*(?=[{UP}])|(?<=[{UP}]{{2}})-\s?\n[ \t]*(?=[{UP}]{{2}}))")
 _COMBINED = re.compile("[̀-ͯ]")
 
 
@@ -161,7 +168,8 @@ def _undo(word: str) -> str | list[tuple[int, str]]:
         elif _COMBINED.match(c):
             changes.append((i, ""))
         elif _ODD.match(c):
-            to = _BYTES.get(c) or ("ü" if c == mojibake.LOST or not c.isalnum() and 0 < i < len(word) - 1 and word[i - 1].isalpha() else c)
+            unknown = c == mojibake.LOST or not c.isalnum() and 0 < i < len(word) - 1 and word[i - 1].isalpha()
+            to = _BYTES.get(c) or (("Ü" if word[i - 1 : i].isupper() and word[i - 2 : i - 1].isupper() else "ü") if unknown else c)
             changes.append((i, to))
     return changes
 
@@ -216,7 +224,7 @@ def _phones(t: str, flat: str, cues: list[int]) -> Iterator[tuple[int, int]]:
 
 
 _TR_ADDRESS = re.compile(rf"(?<![\w])([{UP}][{UP}{LOW}]+)[ \n]+(?:{TR_STREET})(?![{LOW}])")
-_TR_TAIL = re.compile(rf"(?:[ ,\n]+|(?<=[.:/]))(?:{TR_STREET}|{TR_MORE}\.?:?|Apartmanı|APARTMANI|[{UP}][{UP}{LOW}]+(?=[ \n]+(?:{TR_STREET}|Apt|Apartmanı))|\d+(?:/\d+)?[A-Za-z]?\.?(?![\w])|:?\s?\d+)")
+_TR_TAIL = re.compile(rf"(?:[ ,\n]+|(?<=[.:/]))(?:{TR_STREET}|{TR_MORE}\.?:?|Apartmanı|Apartmani|APARTMANI|[{UP}][{UP}{LOW}]+(?=[ \n]+(?:{TR_STREET}|Apt|Apartmanı|Apartmani))|\d+(?:/\d+)?[A-Za-z]?\.?(?![\w])|:?\s?\d+)")
 _TR_CITY = re.compile(rf"[ ,\n]+[{UP}][{LOW}]+(?=[\s.,;)]|$)|[ ,\n]+[{UP}]{{4,}}(?=[\s.,;)]|$)")
 _FR_ADDRESS = re.compile(rf"(?<![\w/.,-])\d+[A-Za-z]?(?:[ \n]+(?:bis|ter|quater))?,?[ \n]+(?:{FR_STREET})[ \n]+(?:[dl][’'e][ \n]?|de[ \n]+la[ \n]+|des?[ \n]+|du[ \n]+|la[ \n]+|les[ \n]+)*[{UP}][\w’'-]*(?:[ \n-]+[{UP}][\w’'-]*)*(?:,[ \n]+\d{{5}}[ \n]+[{UP}][\w-]+|,[ \n]+[{UP}][\w-]+)?")
 _DE_ADDRESS = re.compile(rf"(?<![\w])(?:(?:Am|An|Auf|Im|In|Zum|Zur|Unter)[ \n](?:der|den|dem)?[ \n]?)?(?:[{UP}][\w-]*[ \n-]+)?(?:[{UP}][\w-]*)?(?:{DE_STREET})[ \n]+\d+[ ]?[a-z]?(?![\w])(?:,[ \n]+(?:\d{{5}}[ \n]+)?[{UP}][\w-]+)?")
@@ -293,10 +301,11 @@ class Finder:
         words: dict[str, set[str]] = {}
         for kind, own in (("at", AT), ("id", IDENTITY), ("phone", PHONE), ("street", STREET_WORDS), ("role", ROLES)):
             for w in own:
-                words.setdefault(w, set()).add(kind)
+                for form in spellings(w):
+                    words.setdefault(form, set()).add(kind)
         for g in given:
             up = g.replace("i", "İ").replace("ı", "I").upper()
-            for w in {g, up, g.upper()}:
+            for w in spellings(g) | spellings(up) | {g.upper()}:
                 words.setdefault(w, set()).add("given")
         for w, kinds in words.items():
             self.auto.add_word(w, (len(w), tuple(sorted(kinds))))
