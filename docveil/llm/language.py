@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docveil.llm import mojibake
 from docveil.llm.inputs import rows_of, union
-from docveil.llm.lookalikes import mapping
+from docveil.llm.personal import UP, Plain
 from docveil.sources.tables import table
 
 LANGUAGES = ("tr", "en", "de", "fr", "it")
@@ -24,10 +25,12 @@ LANGUAGES = ("tr", "en", "de", "fr", "it")
 PAGES_PER_LANGUAGE = 500
 #: Sentences per language and pass over them.
 SENTENCES_PER_LANGUAGE, EPOCHS = 2500, 3
+#: Windows gone over in training, at least.
+TRAINED_WINDOWS = 70_000
 #: Bytes of a window; dimensions of a byte's embedding; filters of each width.
 LENGTH, EMBED, WIDTHS, FILTERS = 64, 8, (3, 4, 5), 24
 #: Cost of a switch of language between sentences, in nats.
-SWITCH = 3.0
+SWITCH = 2.5
 #: Words a sentence needs at least.
 WORDS = 4
 
@@ -36,18 +39,31 @@ ABBREVIATIONS = frozenset(
     "av dr prof doç no nr ltd şti sti san tic a.ş a.s t.c mah cad sok sk blv bul apt d k kat vb vs bkz md sy st str bd ave rd mr mrs ms inc co corp art abs ziff "
     "me mme mlle dott avv sig v.le p.zza s.p.a s.r.l n num tel fax c.so u.a z.b usw etc ecc ca bzw e.v hizm sağ loj mob inş tur dan eski esas e".split()
 )
+#: What an ordinal number with a point stands before: courts, notaries, streets, months.
+_ORDINAL = re.compile(
+    r"(?:noter|asliye|sulh|aile|iş |is |ağır|agir|icra|idare|vergi|ticaret|tüketici|hukuk|ceza|bölge|madde|kat\b|sk\.|sok|cad|blv|januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|instanz|kammer|abs)", re.I
+)
 _END = re.compile(r"([.!?])[\"”»’)\]]*\s+(?=[\"“«(\[]?[^\W_])")
 _PAGE = re.compile(r"^\W*(?:[^\W\d_]{1,8}\.?\s*)?\d{1,4}(?:\s*(?:[-/]|von|of|de|di|sur|su)\s*\d{1,4})?\W*$")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c, (_, kind) in mapping().items() if kind in ("width", "invisible", "space") and c < 0x10000) + "]")
-_PLAIN = {c: to for c, (to, kind) in mapping().items() if kind in ("width", "invisible", "space")}
+_ADDRESS = re.compile(r"\S*@\S*|\S*\d\S*")
+_NAME = re.compile(rf"(?<=[\w,;:)’'\"-] )[{UP}][\w’'.&-]*")
+
+
+def masked(sentence: str) -> str:
+    """What tells a sentence's language: without names, numbers and addresses, as Turkish names stand in German
+    sentences and the other way round. A sentence of which too little is left stays whole."""
+    bare = re.sub(r"\s+", " ", _NAME.sub("", _ADDRESS.sub("", sentence))).strip()
+    return bare if sum(map(str.isalpha, bare)) >= 12 else sentence
 
 
 def sentences(text: str) -> list[str]:
     """Whole sentences in reading order. Lines are joined, words split at a line's end too; what has no end of its own
     (titles, headers, names) or too few words is none, and page numbers are left out."""
-    if _ODD.search(text):
-        text = text.translate(_PLAIN)
+    if len(mojibake.ASKED.findall(text)) >= 2:
+        # Question marks in the place of letters end no sentence.
+        text = text.replace("?", "ı")
+    text = Plain(text).text
     blocks, now = [], []
     for line in text.split("\n"):
         bare = line.strip()
@@ -67,7 +83,10 @@ def sentences(text: str) -> list[str]:
             if m[1] == ".":
                 last = joined[at : m.start()].rsplit(None, 1)
                 word = last[-1].lower().lstrip("(\"'“«") if last else ""
-                if len(word) <= 1 or word in ABBREVIATIONS or (word.isdigit() and len(word) < 4) or (len(word) == 2 and "'" in word):
+                if word.isdigit():
+                    if _ORDINAL.match(joined, m.end()):
+                        continue
+                elif len(word) <= 1 or word in ABBREVIATIONS or (len(word) == 2 and "'" in word):
                     continue
             out.append(joined[at : m.end()].strip())
             at = m.end()
@@ -182,9 +201,16 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
     """Trained on ``(language, text)``. Labels may be wrong: after a first pass, sentences that the network confidently
     gives to another language are relabelled, and a fresh network is trained."""
     rng = np.random.default_rng(seed)
+    seen: dict[str, np.ndarray] = {}
+    for code, t in sample:
+        for s in sentences(t):
+            seen.setdefault(masked(s), np.zeros(len(LANGUAGES)))[LANGUAGES.index(code)] += 1
+    # A sentence met under several labels has the one in which it has the largest share.
+    total = np.maximum(sum(seen.values(), np.zeros(len(LANGUAGES))), 1)
+    of = {s: int((n / total).argmax()) for s, n in sorted(seen.items())}
     texts, labels = [], []
-    for k, lang in enumerate(LANGUAGES):
-        own = sorted({s for code, t in sample if code == lang for s in sentences(t)})
+    for k in range(len(LANGUAGES)):
+        own = [s for s, j in of.items() if j == k]
         if len(own) > SENTENCES_PER_LANGUAGE:
             own = [own[i] for i in rng.choice(len(own), SENTENCES_PER_LANGUAGE, replace=False)]
         texts += own
@@ -201,7 +227,9 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
 
     for last in (False, True):
         net, at = ByteNetwork(seed), balanced(y)
-        net.train(x[at], y[owner][at], EPOCHS if last else 1)
+        # Few distinct sentences are gone over more often.
+        passes = max(EPOCHS, -(-TRAINED_WINDOWS // len(at)))
+        net.train(x[at], y[owner][at], passes if last else max(1, passes // 3))
         if not last:
             p = np.exp(sentence_scores(net, texts))
             sure = p.max(1) > 0.9
@@ -209,9 +237,11 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
     return net
 
 
-def decode(lp: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The most probable language of each of two or more sentences, a switch costing ``switch``. No language is left
-    after one sentence: a list of names, say, is not taken for a stretch in the names' language."""
+def decode(lp: np.ndarray, switch: float = SWITCH, alone: bool = False) -> np.ndarray:
+    """The most probable language of each of two or more sentences, a switch costing ``switch``. Unless a sentence may
+    stand ``alone``, no language is left after one."""
+    if alone:
+        return best_path(lp, switch)
     n, k = lp.shape
     new, old = lp[0].astype(np.float64), np.full(k, -np.inf)
     from_new, from_lang = np.zeros((n, k), bool), np.zeros((n, k), np.int64)
@@ -230,6 +260,23 @@ def decode(lp: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
+def best_path(lp: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The most probable language of each sentence, a switch costing ``switch``; a language may be left at once, as
+    stretches are cut by the ends of pages."""
+    n, k = lp.shape
+    score, back = lp[0].astype(np.float64), np.zeros((n, k), np.int64)
+    for i in range(1, n):
+        best = int(score.argmax())
+        moved = score[best] - switch
+        back[i] = np.where(score >= moved, np.arange(k), best)
+        score = np.maximum(score, moved) + lp[i]
+    path = np.empty(n, np.int64)
+    path[-1] = score.argmax()
+    for i in range(n - 1, 0, -1):
+        path[i - 1] = back[i, path[i]]
+    return path
+
+
 def _segmenter(net: ByteNetwork):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,13 +284,13 @@ def _segmenter(net: ByteNetwork):
             per = [sentences(t) for t in batch.column(2).to_pylist()]
             # Sentences that recur in the batch are scored once.
             number: dict[str, int] = {}
-            at = [[number.setdefault(s, len(number)) for s in ss] for ss in per]
+            at = [[number.setdefault(masked(s), len(number)) for s in ss] for ss in per]
             lp = sentence_scores(net, list(number)) if number else None
             out = []
             for a, b, own in zip(src, keys, at, strict=True):
                 if len(own) < 2:
                     continue
-                path, scores, seg, i = decode(lp[own]), lp[own], 0, 0
+                path, scores, seg, i = decode(lp[own], alone=True), lp[own], 0, 0
                 while i < len(own):
                     j = i
                     while j + 1 < len(own) and path[j + 1] == path[i]:

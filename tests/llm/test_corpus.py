@@ -68,6 +68,22 @@ def test_decoding_equals_brute_force(rows):
     assert abs(value(tuple(language.decode(lp, 3.0))) - best) < 1e-9
 
 
+@given(st.lists(st.lists(st.floats(-9, 0), min_size=3, max_size=3), min_size=1, max_size=6))
+@settings(deadline=None)
+def test_decoding_with_single_sentences_equals_brute_force(rows):
+    import itertools
+
+    lp = np.array(rows)
+    value = lambda path: sum(lp[i, k] for i, k in enumerate(path)) - 2.0 * sum(a != b for a, b in zip(path, path[1:], strict=False))
+    best = max(value(p) for p in itertools.product(range(3), repeat=len(lp)))
+    assert abs(value(tuple(language.decode(lp, 2.0, alone=True))) - best) < 1e-9
+
+
+def test_masked():
+    assert language.masked("Anwesend waren Dieter Sengimeruy, Şıla Kaya und Björn Çelik.") == "Anwesend waren , und"
+    assert language.masked("Ayşe Kaya.") == "Ayşe Kaya."
+
+
 def test_segments(spark):
     net = language.ByteNetwork()
     df = spark.createDataFrame([("p", "1", None), ("p", "2", " "), ("p", "3", "Tek bir cümle var burada yalnız.")], "src string, row_key string, text string").withColumn("lang", F.lit("x"))
