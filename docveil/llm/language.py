@@ -36,7 +36,7 @@ WORDS = 4
 
 #: Abbreviations whose point ends no sentence.
 ABBREVIATIONS = frozenset(
-    "av dr prof doç no nr ltd şti sti san tic a.ş a.s t.c mah cad sok sk blv bul apt d k kat vb vs bkz md sy st str bd ave rd mr mrs ms inc co corp art abs ziff "
+    "ref av dr prof doç no nr ltd şti sti san tic a.ş a.s t.c mah cad sok sk blv bul apt d k kat vb vs bkz md sy st str bd ave rd mr mrs ms inc co corp art abs ziff "
     "me mme mlle dott avv sig v.le p.zza s.p.a s.r.l n num tel fax c.so u.a z.b usw etc ecc ca bzw e.v hizm sağ loj mob inş tur dan eski esas e".split()
 )
 #: What an ordinal number with a point stands before: courts, notaries, streets, months.
@@ -82,9 +82,9 @@ def sentences(text: str) -> list[str]:
         for m in _END.finditer(joined):
             if m[1] == ".":
                 last = joined[at : m.start()].rsplit(None, 1)
-                word = last[-1].lower().lstrip("(\"'“«") if last else ""
+                word = last[-1].replace("İ", "i").lower().lstrip("(\"'“«") if last else ""
                 if word.isdigit():
-                    if _ORDINAL.match(joined, m.end()):
+                    if joined[m.end() : m.end() + 1].islower() or _ORDINAL.match(joined, m.end()):
                         continue
                 elif len(word) <= 1 or word in ABBREVIATIONS or (len(word) == 2 and "'" in word):
                     continue
