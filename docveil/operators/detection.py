@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from docveil.functions.spans import bind, matches
 from docveil.functions.text import fingerprint, pseudonym_key, strip
-from docveil.operators.rules import CONTEXT, COURT_HIGH, COURT_NUMBERED, COURT_SUFFIX, CRIMINAL, DIRECT, HEALTH, NOTARY_NUMBERED, PRIVILEGED, RULES, Rule
+from docveil.operators.person_names import person_names
+from docveil.operators.rules import CONTEXT, COURT_HIGH, COURT_NUMBERED, COURT_SUFFIX, CRIMINAL, DIRECT, HEALTH, NOTARY_NUMBERED, PRIVILEGED, PSEUDONYM, RULES, Rule, is_person
 
 #: Characters of a sample.
 SAMPLE = 180
@@ -105,6 +106,15 @@ def findings(docs: DataFrame, doc_id: str, text: str, rules: tuple[Rule, ...] =
     return f.where(ok).drop("whole").withColumn("sample", F.substring("value", 1, SAMPLE)).withColumn("fingerprint", fingerprint(F.col("value")))
 
 
+def all_findings(docs: DataFrame, doc_id: str, text: str, given: list[str]) -> DataFrame:
+    """``findings`` of all rules and, after them, the names that ``person_names`` finds without a title or role."""
+    n = person_names(docs, doc_id, text, given).where(is_person(F.col("value"))).select(
+        "doc_id", F.lit(len(RULES)).alias("rule_ord"), F.col("start").alias("match_ord"), F.lit("natural_person_name").alias("category"), F.lit("HIGH").alias("risk"), F.lit(PSEUDONYM).alias("action"), F.lit("PERSON").alias("prefix"),
+        "start", "end", "value", F.substring("value", 1, SAMPLE).alias("sample"), fingerprint(F.col("value")).alias("fingerprint"),
+    )
+    return findings(docs, doc_id, text).unionByName(n)
+
+
 def cut_identifiers(f: DataFrame) -> DataFrame:
     """Sensitive clauses without the direct identifiers in them: each clause is split at the merged spans of the
     identifiers it overlaps (one as wide as the clause does not cut it), its pieces stripped of leading points and

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docveil.functions.checks import valid_tckn, valid_vkn
 from docveil.functions.spans import matches
 from docveil.operators import spans as sp
-from docveil.operators.detection import cut_identifiers, findings, named_courts, placeholders
+from docveil.operators.detection import all_findings, cut_identifiers, findings, named_courts, placeholders
+from docveil.operators.person_names import GIVEN, given_names
 from docveil.operators.rules import DIRECT, RULES
 from docveil.operators.lineage import checkpointed
 from docveil.sources.tables import table
@@ -41,11 +42,17 @@ SELECT doc_id, value, start_at, start_at + length(value) AS end_at FROM s
 """
 
 
+def _page_findings(spark: SparkSession, sf_dir: str, pages: DataFrame, doc_id: str) -> DataFrame:
+    """Findings with placeholders; known given names are the common ones and those of the recorded findings."""
+    recorded = given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
+    return placeholders(all_findings(pages, doc_id, "text", [*GIVEN, *recorded]))
+
+
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings of all rules over the scanned pages, cut, deduplicated and with placeholders."""
+    """All findings of all rules and all names over the scanned pages, cut, deduplicated and with placeholders."""
     pages = table(spark, sf_dir, "ocr_pages").select("id", "text").dropDuplicates(["id"])
     # Read several times by the cut; the rules run once.
-    f = checkpointed(placeholders(findings(pages, "id", "text")))
+    f = checkpointed(_page_findings(spark, sf_dir, pages, "id"))
     f = sp.dedupe(cut_identifiers(f), "doc_id", [F.col("rule_ord"), F.col("match_ord")])
     return f.select("doc_id", "category", "sample", "risk", "action", "placeholder", "start", "end", "fingerprint")
 
@@ -59,7 +66,7 @@ def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redacted_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the clipped findings replaced, cut to 12,000 characters."""
     pages = table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    f = placeholders(findings(pages, "doc_id", "text"))
+    f = _page_findings(spark, sf_dir, pages, "doc_id")
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sp.RISK.items() for x in kv)), F.col("risk")), F.lit(5))
     c = sp.clip(f, ["doc_id"], [F.col("start"), rank.desc(), (F.col("start") - F.col("end")), F.col("rule_ord"), F.col("match_ord")])
     return sp.render(pages.where("text is not null"), c, "doc_id", "text", "placeholder", 12_000)

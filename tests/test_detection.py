@@ -93,3 +93,17 @@ def test_clip_keeps_what_is_not_covered(spark):
 def test_dedupe(spark):
     f = spark.createDataFrame([(1, "c", 0, 5, "f", 2), (1, "c", 0, 5, "f", 1), (1, "c", 0, 6, "f", 3)], "d long, category string, start int, end int, fingerprint string, n int")
     assert sorted(r["n"] for r in dedupe(f, "d", [F.col("n")]).collect()) == [1, 3]
+
+
+def test_names_without_title_or_role(spark, tmp_path):
+    from docveil.plans.detection import detect_all, redacted_previews
+
+    text = "Sözleşme, Zehra Sena Kırçitülen tarafından imzalandı. Sayın Kerem Demir geldi.\nKatip: Selin Ak\nKerem Demir ile Oya Er arasında"
+    spark.createDataFrame([(1, text), (2, None)], "id long, text string").write.parquet(f"{tmp_path}/ocr_pages.parquet")
+    spark.createDataFrame([], "category string, sample string").write.parquet(f"{tmp_path}/privacy_findings.parquet")
+    found = [r for r in detect_all(spark, str(tmp_path)).collect() if r["category"] == "natural_person_name"]
+    want = {"Zehra Sena Kırçitülen": "[PERSON_2]", "Kerem Demir": "[PERSON_1]", "Selin Ak": "[PERSON_3]", "Oya Er": "[PERSON_4]"}
+    assert {(r["sample"], r["placeholder"]) for r in found} == set(want.items())
+    assert len(found) == len({(r["start"], r["end"]) for r in found}) and all(text[r["start"] : r["end"]] == r["sample"] for r in found)
+    rendered = {r["doc_id"]: r["rendered"] for r in redacted_previews(spark, str(tmp_path)).collect()}
+    assert set(rendered) == {1} and not any(name in rendered[1] for name in want)
