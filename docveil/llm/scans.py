@@ -4,7 +4,8 @@ All of it is SQL. Lines are exploded with their neighbours. Page numbers and run
 recur on pages of a document in the same skeleton, in which confusable letters are one. A word split at a line's end is
 told from a compound by how often either form occurs in the corpus. Misread words are found by anagram hashes: the sum
 of its letters' values changes by a known difference when one letter is taken for another, so rare words are joined
-with frequent ones on their hash less that difference, and the substitution is then verified in place.
+with frequent ones on their hash less that difference, and the substitution is then verified in place; what is left is
+joined once more, on two differences.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from docveil.operators.lineage import checkpointed
 FREQUENT, RATIO = 4, 15
 #: Shortest word looked at.
 SHORTEST = 3
+#: Shortest word in which two places may be misread: with two changed, shorter ones are other words.
+TWICE_FROM = 5
 #: What is read, and what was printed.
 CONFUSIONS = (
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("lc", "k"), ("lı", "h"), ("li", "h"), ("ii", "u"), ("ii", "ü"), ("ri", "n"), ("n", "ri"), ("m", "in"), ("in", "m"), ("nı", "m"), ("vv", "w"), ("w", "vv"),
@@ -157,9 +160,8 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def misreadings(spark: SparkSession, vocab: DataFrame) -> DataFrame:
-    """``word, correction``: rare words that become a much more frequent one when one confusion is undone. Of several
-    the most frequent is taken."""
+def _sides(spark: SparkSession, vocab: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words that may be rare by each confusion they may hold, with the hash when it is undone; frequent words; the confusions."""
     v = vocab.where(F.length("word").between(SHORTEST, 40) & F.col("word").rlike(r"\p{L}"))
     conf = F.broadcast(
         spark.createDataFrame(CONFUSIONS, "seen string, meant string").select("seen", "meant", (_value(F.col("meant")) - _value(F.col("seen"))).alias("diff"))
@@ -167,11 +169,34 @@ def misreadings(spark: SparkSession, vocab: DataFrame) -> DataFrame:
     plain = f"^[a-z0-9{mojibake.NATURAL}-]+$"
     rare = v.where(F.col("word").rlike(plain)).join(conf, F.col("word").contains(F.col("seen"))).select("word", "n", "seen", "meant", (_value(F.col("word")) + F.col("diff")).alias("h"))
     frequent = v.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike(r"\p{N}")).select(F.col("word").alias("correction"), F.col("n").alias("m"), _value(F.col("word")).alias("h"))
+    return rare, frequent, conf
+
+
+def misreadings(spark: SparkSession, vocab: DataFrame) -> DataFrame:
+    """``word, correction``: rare words that become a much more frequent one when one confusion is undone. Of several
+    the most frequent is taken."""
+    rare, frequent, _ = _sides(spark, vocab)
     at_place = F.expr("exists(sequence(1, length(word)), i -> substr(word, i, length(seen)) = seen AND concat(left(word, i - 1), meant, substr(word, i + length(seen))) = correction)")
     hits = rare.join(frequent, "h").where((F.col("m") >= RATIO * F.col("n")) & at_place)
     return hits.groupBy("word").agg(F.max_by("correction", F.struct("m", "correction")).alias("correction"))
 
 
+def misread_twice(spark: SparkSession, vocab: DataFrame, once: DataFrame) -> DataFrame:
+    """``word, correction``: as in ``misreadings``, which gave ``once``, of the words left where two confusions (or one
+    twice) are undone at different places.
+
+    They meet half way: a rare word's hash with one undone is a frequent word's with the other one done."""
+    rare, frequent, conf = _sides(spark, vocab)
+    rare = rare.where(F.length("word") >= TWICE_FROM).join(once.select("word"), "word", "left_anti")
+    done = frequent.where(F.col("m") >= RATIO).join(conf.toDF("seen2", "meant2", "diff2"), F.col("correction").contains(F.col("meant2"))).select("correction", "m", "seen2", "meant2", (F.col("h") - F.col("diff2")).alias("h"))
+    at_places = F.expr(
+        "exists(sequence(1, length(word)), i -> substr(word, i, length(seen)) = seen AND left(correction, i - 1 + length(meant)) = concat(left(word, i - 1), meant) AND exists(sequence(i + length(seen), length(word) + 1), j -> substr(word, j, length(seen2)) = seen2 "
+        "AND concat(left(word, i - 1), meant, substr(word, i + length(seen), j - i - length(seen)), meant2, substr(word, j + length(seen2))) = correction))"
+    )
+    hits = rare.join(done, "h").where((F.col("m") >= RATIO * F.col("n")) & at_places)
+    return hits.groupBy("word").agg(F.max_by("correction", F.struct("m", "correction")).alias("correction"))
+
+
 #: Misread words that are broadcast, at most: about 10 MB.
 BROADCAST_ROWS = 200_000
 #: Longs in the word filter; a word is one bit of them.
@@ -226,7 +251,8 @@ def defects(texts: DataFrame) -> DataFrame:
     hyphen = F.col("own") | (~F.col("raw_rest").contains("@") & ~F.col("token").contains("@") & (~upper | caps) & ((n2 == 0) | (n1 - 1 > 4 * n2)))
     hyphens = ends.where(hyphen).select(*key, F.lit("hyphen").alias("defect"), F.concat("raw_head", F.lit("-"), "raw_rest").alias("word"), F.lit(None).cast("string").alias("correction"))
     # Misread words.
-    wrong = checkpointed(misreadings(spark, vocab))
+    once = checkpointed(misreadings(spark, vocab))
+    wrong = checkpointed(once.unionByName(misread_twice(spark, vocab, once)))
     # Body lines only: what has no small letter is a title.
     body = lines.where(F.col("line").rlike(r"\p{Ll}"))
     # A short list goes to every task; a longer one is met by a shuffle, of the words that may be in it.

@@ -132,3 +132,17 @@ def test_word_filter_keeps_all_that_may_match(spark):
     got = scans._filtered(words, keep)
     assert got.columns == ["k", "word"]
     assert got.join(keep, "word").count() == keep.count() and got.count() < 500
+
+
+def test_two_places_of_a_word_are_misread(spark):
+    words = {"hakkında": 60, "hakklncla": 1, "olarak": 50, "oloralc": 2, "raised": 20, "roisecl": 1, "tarihinde": 40, "torihiride": 1, "anlaşılmıştır": 30, "arilaşılmışfır": 1, "papa": 90, "pqpz": 1, "bundle": 14, "biinclle": 1, "ilk": 900, "lik": 1}
+    v = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {(r["word"], r["correction"]) for r in scans.misread_twice(spark, v, scans.misreadings(spark, v)).collect()}
+    undone = lambda w, at=0: [(i + len(meant), w[:i] + meant + w[i + len(seen) :]) for seen, meant in scans.CONFUSIONS for i in range(at, len(w)) if w[i:].startswith(seen)]
+    want = {(w, x) for w, n in words.items() if len(w) >= scans.TWICE_FROM for at, once in undone(w) for _, x in undone(once, at) if words.get(x, 0) >= scans.RATIO * n}
+    assert got == want == {("hakklncla", "hakkında"), ("oloralc", "olarak"), ("roisecl", "raised"), ("torihiride", "tarihinde"), ("arilaşılmışfır", "anlaşılmıştır")}
+
+
+def test_defects_of_words_misread_twice(spark):
+    got = [(r["row_key"], r["word"], r["correction"]) for r in scans.defects(scanned(spark, ["Mahkemece verilen karar ile toroflara tebliğ edilmiştir."])).collect() if r["defect"] == "misread"]
+    assert got == [("1", "toroflara", "taraflara")]
