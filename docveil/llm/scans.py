@@ -228,6 +228,8 @@ def defects(texts: DataFrame) -> DataFrame:
     texts have none. A page given twice counts once, two scans of one page are one page as regards recurring headers.
     """
     spark = texts.sparkSession
+    # Read several times; a row delivered twice would double its words' counts.
+    texts = checkpointed(texts.select("src", "row_key", "doc", "page", "text").dropDuplicates(["src", "row_key"]))
     lines = lines_of(texts)
     key = ["src", "row_key", "line_no"]
     gold = F.col("src") == "gold_labels"

@@ -146,3 +146,10 @@ def test_two_places_of_a_word_are_misread(spark):
 def test_defects_of_words_misread_twice(spark):
     got = [(r["row_key"], r["word"], r["correction"]) for r in scans.defects(scanned(spark, ["Mahkemece verilen karar ile toroflara tebliğ edilmiştir."])).collect() if r["defect"] == "misread"]
     assert got == [("1", "toroflara", "taraflara")]
+
+
+def test_rows_delivered_twice_count_once(spark):
+    rows = [("ocr_pages", str(i), f"d{i}", 1, "Tarafların beyanları dinlenmiştir.") for i in range(20)]
+    rows += [("ocr_pages", "x", "dx", 1, "Tanıkların beyanları dinlcnmiştir.")] * 2
+    df = spark.createDataFrame(rows, "src string, row_key string, doc string, page long, text string")
+    assert [(r["row_key"], r["word"], r["correction"]) for r in scans.defects(df).collect() if r["word"] == "dinlcnmiştir"] == [("x", "dinlcnmiştir", "dinlenmiştir")]
