@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of the anchor by which names and texts meet.
+#: Characters of the anchor by which names and texts meet, at most; a shorter name is its own anchor.
 ANCHOR = 5
 
 
 def attribute(texts: DataFrame, names: DataFrame, text_id: str, text: str) -> DataFrame:
-    """``text_id, client_id``: the least client any of whose names (``client_id, name``) is in the text, case aside.
+    """``text_id, client_id``: the least client any of whose names (``client_id, name``; a row per name or alias) is in
+    the text, case aside.
 
-    No text is compared with all names: both are exploded to anchors (every stretch of ANCHOR characters of a text, the
-    first of a name) and joined on them, then the whole name is looked up in place. Names shorter than an anchor, and
-    texts without a name, give no row."""
+    No text is compared with all names: both are exploded to anchors (every stretch of a text as long as some name's
+    anchor, the first characters of a name) and joined on them, then the whole name is looked up in place. Blank names,
+    and texts without a name, give no row."""
     low = lambda c: F.lower(F.translate(c, "İI", "iı"))
-    t = texts.select(text_id, low(F.col(text)).alias("t")).where(F.length("t") >= ANCHOR)
-    anchors = t.select(text_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - ANCHOR + 1), lambda i: F.substr("t", i, F.lit(ANCHOR))))).alias("anchor"))
-    n = names.select("client_id", low(F.trim("name")).alias("n")).where(F.length("n") >= ANCHOR).distinct().withColumn("anchor", F.left("n", F.lit(ANCHOR)))
+    t = texts.select(text_id, low(F.col(text)).alias("t"))
+    n = names.select("client_id", low(F.trim("name")).alias("n")).where("n <> ''").distinct().withColumn("anchor", F.left("n", F.lit(ANCHOR)))
+    # ANCHOR rows at most.
+    sizes = n.select(F.length("anchor").alias("size")).distinct()
+    stretches = F.transform(F.sequence(F.lit(1), F.length("t") - F.col("size") + 1), lambda i: F.substr("t", i, F.col("size")))
+    anchors = t.crossJoin(F.broadcast(sizes)).where(F.length("t") >= F.col("size")).select(text_id, F.explode(F.array_distinct(stretches)).alias("anchor"))
     # Only anchors some name has go on.
     pairs = anchors.join(n, "anchor").select(text_id, "client_id", "n")
     return pairs.join(t, text_id).where(F.col("t").contains(F.col("n"))).groupBy(text_id).agg(F.min("client_id").alias("client_id"))
+
+
+def named(clients: DataFrame) -> DataFrame:
+    """``client_id, name``: a row per name and alias of ``id, name, aliases``. Aliases are a JSON array, or plain text
+    parted by semicolons or bars."""
+    array = F.from_json("aliases", "array<string>")
+    plain = F.when(~F.trim("aliases").rlike(r"^(?:[\[{].*|null)$"), F.split("aliases", "[;|]"))
+    each = F.concat(F.array("name"), F.coalesce(F.when(F.trim("aliases").startswith("["), array), plain, F.array().cast("array<string>")))
+    return clients.select(F.col("id").alias("client_id"), F.explode(each).alias("name")).where("name is not null").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions.spans import matches
 from docveil.operators import ocr, redaction
-from docveil.operators.attribution import ANCHOR, attribute
+from docveil.operators.attribution import ANCHOR, attribute, named
 from docveil.operators.rules import RULES
 from docveil.operators.scoring import scores
 from docveil.sources.tables import table
@@ -17,7 +17,7 @@ EMAIL = next(r.pattern for r in RULES if r.category == "email_address")
 
 def attributed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "ocr_pages").where("text is not null").dropDuplicates(["id"])
-    return attribute(pages, table(spark, sf_dir, "clients").select(F.col("id").alias("client_id"), "name"), "id", "text")
+    return attribute(pages, named(table(spark, sf_dir, "clients")), "id", "text")
 
 
 _LOW = "lower(translate({0}, 'İI', 'iı'))"

@@ -94,3 +94,13 @@ def test_sinks(spark, tmp_path):
     sinks.append_index(old, path, ["k"])
     sinks.append_index(new, path, ["k"], spark.read.parquet(path))
     assert rows(spark.read.parquet(path).select("k")) == [(1,), (2,), (3,)]
+
+
+def test_attribution_by_alias_and_short_name(spark, tmp_path):
+    from docveil.plans.review import attributed_pages
+
+    texts = ["Ödeme Kartal Lojistik adına yapıldı.", "Ödeme ARÇ hesabına yapıldı.", "KÖY adına", "Beko ve Kartal Lojistik", "Zuhal Gıda geldi", "kimse yok", "", None, "o"]
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(f"{tmp_path}/ocr_pages.parquet")
+    clients = [(1, "Uzun Adlı Anonim Şirketi", '["Kartal Lojistik", "", "Arç", null]'), (2, "Köy", None), (3, "Beko", ""), (4, "Başka Birisi", "Zuhal Gıda; Yok Olan"), (5, None, '["kimse"]'), (6, " ", "{}"), (7, "Ad Soyad", "null")]
+    spark.createDataFrame(clients, "id long, name string, aliases string").write.parquet(f"{tmp_path}/clients.parquet")
+    assert {tuple(r) for r in attributed_pages(spark, str(tmp_path)).select("id", "client_id").collect()} == {(0, 1), (1, 1), (2, 2), (3, 1), (4, 4), (5, 5)}
