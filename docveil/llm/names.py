@@ -24,11 +24,13 @@ from docveil.llm.lookalikes import mapping
 from docveil.operators.lineage import checkpointed
 from docveil.sources.tables import table
 
-#: Surnames and brands shorter than this must be equal; longer ones may differ by one edit.
+#: Surnames and brands (with the letter of their kind) shorter than this may differ by one edit if one is much rarer;
+#: longer ones may anyway.
 FUZZY_FROM = 6
-#: Letters at either end by which tries are sharded; two words within one edit share one of the ends.
+#: Letters at either end by which tries are sharded; two words within one edit share one of the ends, or, twice as long
+#: and with the two middle letters swapped, what stands around these.
 END = 3
-#: A given name differing by one edit from another is its misspelling when it is this much rarer.
+#: A given name or a short surname differing by one edit from another is its misspelling when it is this much rarer.
 RARER = 0.05
 
 # Titles, words of legal form, lines of business with their English names, short forms of given names.
@@ -188,21 +190,36 @@ def trie_join(queries: DataFrame, index: DataFrame) -> DataFrame:
     """``q, c``: each query word (column ``word``) with the index words within one edit; short words only if equal.
 
     A shard is the first or last END letters and the length; an index word is in two shards, a query looks in the three
-    lengths it may have. Words are distinct, so a name borne by a third of all rows is one word.
+    lengths it may have. Words of 2 * END letters are also in the shard of all but their middle two. Words are distinct, so a name borne by a third of all rows is one word.
     """
     q, c = queries.select("word").distinct(), index.select("word").distinct()
     equal = q.join(c, "word").select(F.col("word").alias("q"), F.col("word").alias("c"))
     long_ = F.length("word") >= FUZZY_FROM
     ends = lambda n: F.array(F.concat(F.lit("^"), F.left("word", F.lit(END)), n), F.concat(F.lit("$"), F.right("word", F.lit(END)), n))
     size = F.length("word")
-    indexed = c.where(long_).select("word", F.lit(True).alias("indexed"), F.explode(ends(size.cast("string"))).alias("shard"))
-    asked = q.where(F.length("word") >= FUZZY_FROM - 1).select("word", F.lit(False).alias("indexed"), F.explode(F.flatten(F.array(*(ends((size + d).cast("string")) for d in (-1, 0, 1))))).alias("shard"))
+    around = F.when(size == 2 * END, F.array(F.concat(F.lit("~"), F.left("word", F.lit(END - 1)), F.right("word", F.lit(END - 1))))).otherwise(F.array().cast("array<string>"))
+    indexed = c.where(long_).select("word", F.lit(True).alias("indexed"), F.explode(F.concat(ends(size.cast("string")), around)).alias("shard"))
+    asked = q.where(F.length("word") >= FUZZY_FROM - 1).select("word", F.lit(False).alias("indexed"), F.explode(F.flatten(F.array(*(ends((size + d).cast("string")) for d in (-1, 0, 1)), around))).alias("shard"))
     # Shards without index words are no work.
     asked = asked.join(indexed.select("shard").distinct(), "shard", "left_semi").select("word", "indexed", "shard")
     found = indexed.unionByName(asked).groupBy("shard").applyInPandas(_walk, "q string, c string")
     return equal.union(found).where(F.abs(F.length("q") - F.length("c")) <= 1).distinct()
 
 
+def short_join(words: DataFrame, index: DataFrame) -> DataFrame:
+    """``q, c``: words (``word, n``; the kind is the first letter) with the short index words (``word``) within one edit,
+    of which one is much rarer than the other. Single letters are initials and have none.
+
+    Words within one edit are equal when each leaves out one letter at most."""
+    letters = F.sequence(F.lit(2), F.length("word"))
+    keys = F.array_distinct(F.concat(F.array("word"), F.transform(letters, lambda i: F.concat(F.left("word", i - 1), F.substr("word", i + 1)))))
+    short = words.where(F.length("word").between(3, FUZZY_FROM)).select("word", "n", F.explode(keys).alias("key"))
+    c = short.where(F.length("word") < FUZZY_FROM).join(index.select("word").distinct(), "word", "left_semi").toDF("c", "m", "key")
+    swap = F.expr("length(q) = length(c) AND exists(sequence(2, length(q)), i -> concat(left(q, i - 1), substr(q, i + 1, 1), substr(q, i, 1), substr(q, i + 2)) = c)")
+    pairs = short.toDF("q", "n", "key").join(c, "key").where(F.least("n", "m") <= RARER * F.greatest("n", "m"))
+    return pairs.where((F.levenshtein("q", "c") == 1) | swap).select("q", "c").distinct()
+
+
 # --- records and names -------------------------------------------------------------------------------------------
 
 _NAMES = "rec long, client boolean, kind string, parts array<string>, brand string, business string"
@@ -315,7 +332,8 @@ def linked(clients: DataFrame, findings: DataFrame) -> DataFrame:
     kw = F.concat("kind", "word")
     index = nodes.where("client").select(kw.alias("word"))
     # Kind is the first letter of the words joined: a person's surname and a brand never meet.
-    near_ = checkpointed(trie_join(nodes.select(kw.alias("word")), index).where(F.left("q", F.lit(1)) == F.left("c", F.lit(1))))
+    same_kind = trie_join(nodes.select(kw.alias("word")), index).where(F.left("q", F.lit(1)) == F.left("c", F.lit(1)))
+    near_ = checkpointed(same_kind.union(short_join(nodes.groupBy(kw.alias("word")).agg(F.count("*").alias("n")), index)))
     reach = nodes.join(near_.select(F.col("q")).distinct(), kw == F.col("q"), "left_semi")
     strong = reach.where(~F.col("weak"))
     of_record = strong.where("client").withColumn("b", F.min("node").over(Window.partitionBy("rec"))).where("node <> b").select(F.col("node").alias("a"), "b")

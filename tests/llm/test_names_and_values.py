@@ -91,3 +91,27 @@ def test_redacted_keeps_the_rest(spark):
     assert (got["4"]["kinds"], got["4"]["starts"]) == (["natural_person_name"], [8])
     assert got["5"]["starts"] == [100_000] and set(got) == {"1", "4", "5"}
     assert personal.personal(df.limit(0), GIVEN).count() == 0
+
+
+def test_trie_join_meets_words_swapped_anywhere(spark):
+    words = ["PDemir", "Pabcde", "CBrisa", "PDogruk"]
+    asked = [w[:i] + w[i : i + 2][::-1] + w[i + 2 :] for w in words for i in range(len(w) - 1)]
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    got = {(r["q"], r["c"]) for r in names.trie_join(df(asked), df(words)).collect()}
+    assert got == {(q, c) for q in asked for c in words if names.near(q, c)}
+
+
+def test_short_join_equals_brute_force(spark):
+    rng = random.Random(3)
+    n = {k + "".join(rng.choice("abc") for _ in range(rng.randint(1, 5))): rng.choice([1, 2, 30, 60, 900]) for k in "PC" for _ in range(120)}
+    got = {(r["q"], r["c"]) for r in names.short_join(spark.createDataFrame(list(n.items()), "word string, n long"), spark.createDataFrame([(w,) for w in n], "word string")).collect()}
+    rarer = lambda q, c: min(n[q], n[c]) <= names.RARER * max(n[q], n[c])
+    assert got == {(q, c) for q in n for c in n if q != c and q[0] == c[0] and len(c) < names.FUZZY_FROM and min(len(q), len(c)) > 2 and names.near(q, c) and rarer(q, c)}
+
+
+def test_short_surnames_are_linked(spark):
+    c = [(1, "Ayşe Demir", None), (2, "Ayşe Dmeir", None), (3, "Mehmet Kaya", None), (4, "Mehmet Kyaa", None), (5, "Mehmet Kara", None)]
+    f = [(100 + i, f"Mehmet {s}", "natural_person_name") for i, s in enumerate(["Kaya"] * 25 + ["Kara"] * 25)]
+    got = names.linked(spark.createDataFrame(c, "id long, name string, aliases string"), spark.createDataFrame(f, "id long, sample string, category string")).where("client").collect()
+    e = {r["rec"]: r["entity"] for r in got}
+    assert e[1] == e[2] and e[3] == e[4] and len({e[1], e[3], e[5]}) == 3
