@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions.spans import matches
 from docveil.operators import ocr, redaction
-from docveil.operators.attribution import ANCHOR, attribute, named
+from docveil.operators.attribution import attribute, named
 from docveil.operators.rules import RULES
 from docveil.operators.scoring import scores
 from docveil.sources.tables import table
@@ -20,8 +20,20 @@ def attributed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute(pages, named(table(spark, sf_dir, "clients")), "id", "text")
 
 
+def attributed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The client that a finding's sample names."""
+    f = table(spark, sf_dir, "privacy_findings").where("sample is not null").dropDuplicates(["id"])
+    return attribute(f, named(table(spark, sf_dir, "clients")), "id", "sample")
+
+
 _LOW = "lower(translate({0}, 'İI', 'iı'))"
-ATTRIBUTED = f"SELECT p.id, min(c.id) AS client_id FROM (SELECT DISTINCT id, {_LOW.format('text')} AS t FROM ocr_pages WHERE text IS NOT NULL) p JOIN (SELECT DISTINCT id, trim({_LOW.format('name')}) AS n FROM clients) c ON length(c.n) >= {ANCHOR} AND contains(p.t, c.n) GROUP BY p.id"
+#: Names and aliases of all clients, each compared with each text.
+_NAMES_SQL = r"""(SELECT id, trim(lower(translate(x, 'İI', 'iı'))) AS n FROM (SELECT DISTINCT id, name AS x FROM clients UNION
+  SELECT id, unnest(CASE WHEN json_valid(aliases) AND json_type(aliases) = 'ARRAY' THEN CAST(json(aliases) AS VARCHAR[]) WHEN NOT regexp_full_match(trim(aliases), '[\[{].*|null') THEN string_split_regex(aliases, '[;|]') END) AS x FROM clients) WHERE trim(x) <> '')"""
+
+
+def _attributed_sql(name: str, text: str) -> str:
+    return f"SELECT p.id, min(c.id) AS client_id FROM (SELECT DISTINCT id, {_LOW.format(text)} AS t FROM {name} WHERE {text} IS NOT NULL) p JOIN {_NAMES_SQL} c ON contains(p.t, c.n) GROUP BY p.id"
 
 
 def email_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +109,7 @@ def sample_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "attributed_pages": (attributed_pages, ATTRIBUTED), "email_scoring": (email_scoring, SCORING), "redaction_segments": (redaction_segments, None), "segment_check": (segment_check, SEGMENT_CHECK),
+    "attributed_pages": (attributed_pages, _attributed_sql("ocr_pages", "text")), "attributed_findings": (attributed_findings, _attributed_sql("privacy_findings", "sample")), "email_scoring": (email_scoring, SCORING), "redaction_segments": (redaction_segments, None), "segment_check": (segment_check, SEGMENT_CHECK),
     "recognised_text": (recognised_text, RECOGNISED), "sample_boxes": (sample_boxes, None),
 }
 

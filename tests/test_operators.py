@@ -77,7 +77,22 @@ def test_scores(spark):
 def test_attribution_takes_the_least_client(spark):
     t = spark.createDataFrame([(1, "x ACME LOJİSTİK A.Ş. ve Beta Ltd"), (2, "nobody here"), (3, None), (4, "Beta Ltd")], "id long, t string")
     n = spark.createDataFrame([(9, "Acme Lojistik"), (4, "beta ltd"), (1, "Ab"), (2, None)], "client_id long, name string")
-    assert rows(attribute(t, n, "id", "t")) == [(1, 4), (4, 4)]
+    for broadcast_rows in (100, 0):
+        assert rows(attribute(t, n, "id", "t", broadcast_rows)) == [(1, 4), (4, 4)]
+    assert rows(attribute(t, n.limit(0), "id", "t")) == rows(attribute(t.limit(0), n, "id", "t")) == []
+
+
+def test_attribution_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab İI") for _ in range(rng.randrange(30))) for _ in range(60)]
+    names = ["".join(rng.choice("ab İI") for _ in range(rng.randrange(1, 20))) for _ in range(60)]
+    low = lambda x: x.replace("İ", "i").replace("I", "ı").lower()
+    want = {(i, min(hits)) for i, t in enumerate(texts) if (hits := [j for j, n in enumerate(names) if low(n).strip() and low(n).strip() in low(t)])}
+    t, n = spark.createDataFrame(list(enumerate(texts)), "id long, t string"), spark.createDataFrame(list(enumerate(names)), "client_id long, name string")
+    for broadcast_rows in (100, 0):
+        assert {tuple(r) for r in attribute(t, n, "id", "t", broadcast_rows).collect()} == want
 
 
 def test_classes_in_order(spark):

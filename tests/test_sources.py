@@ -3,6 +3,8 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pytest
+
 from docveil.sources import documents as d
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -76,3 +78,44 @@ def test_scan_and_extract(spark, tmp_path):
 def test_null_content(spark):
     df = spark.createDataFrame([("a.txt", None), (None, bytearray(b"x"))], "path string, content binary")
     assert sorted(r["warning"] for r in d.extracted(df).collect()) == ["No content.", "Unsupported file type."]
+
+
+def test_document_types_are_refused_wherever_they_stand():
+    late = "<!--" + "x" * 5000 + '--><!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'
+    wide = '<?xml version="1.0" encoding="utf-16"?><!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'.encode("utf-16")
+    for evil in (late, wide):
+        assert "refused" in d.extract("a.docx", package({"word/document.xml": evil}))[1]
+        assert "refused" in d.extract("a.xlsx", package({"xl/worksheets/sheet1.xml": evil}))[1]
+        with pytest.raises(d.Unreadable):
+            d.redact_docx(package({"word/document.xml": evil}), [("a", "b")])
+
+
+def test_redaction_folds_case_and_diacritics():
+    data = docx(["İstanbul'da AYŞE KAYA geldi, Ayse  Kaya gitti"], ["ayşe", " KAYA'nın İli"])
+    new = d.extract("a.docx", d.redact_docx(data, [("Ayşe Kaya", "[P]")]))[0]
+    assert new == "İstanbul'da [P] geldi, [P] gitti\n[P]'nın İli"
+
+
+def test_redaction_stays_within_paragraphs():
+    data = docx(["son Ay"], ["şe Kaya yok"], ["Kaya"])
+    assert d.redact_docx(data, [("Ayşe Kaya", "[P]")]) and d.extract("a.docx", d.redact_docx(data, [("Ayşe Kaya", "[P]")]))[0] == "son Ay\nşe Kaya yok\nKaya"
+    tabs = package({"word/document.xml": f'<w:document xmlns:w="{W}"><w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>Ayşe</w:t><w:tab/><w:t>Kaya</w:t><w:br/><w:t>Kaya</w:t></w:r></w:p></w:document>'})
+    assert d.extract("a.docx", tabs)[0] == "Ayşe\tKaya\nKaya"
+    assert d.extract("a.docx", d.redact_docx(tabs, [("Ayşe Kaya", "[P]")]))[0] == "[P]\nKaya"
+
+
+def test_deleted_text_is_redacted_too():
+    data = package({"word/document.xml": f'<w:document xmlns:w="{W}"><w:p><w:del><w:r><w:delText>Ayşe Kaya</w:delText></w:r></w:del></w:p></w:document>'})
+    assert b"Ay" not in zipfile.ZipFile(io.BytesIO(d.redact_docx(data, [("Ayşe Kaya", "[P]")]))).read("word/document.xml").replace(b"encoding", b"")
+
+
+def test_redaction_reads_within_limits(monkeypatch):
+    monkeypatch.setattr(d, "MEMBER_BYTES", 50)
+    with pytest.raises(d.Unreadable):
+        d.redact_docx(package({"media/x.bin": b"x" * 51}), [])
+
+
+def test_markup_that_does_not_parse():
+    assert d.from_markup("a < b & c") == "a < b & c"
+    assert d.from_markup("<p>bir<br>iki &amp; üç") == "bir iki & üç"
+    assert d.from_markup("") == "" and d.from_markup("&#304;ki") == "İki"
