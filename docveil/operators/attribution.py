@@ -35,7 +35,7 @@ def attribute(texts: DataFrame, names: DataFrame, text_id: str, text: str, broad
     sizes = sorted(r[0] for r in n.select(F.length("anchor")).distinct().collect())
     if not sizes:
         return t.select(text_id, F.lit(None).cast(dict(names.dtypes)["client_id"]).alias("client_id")).limit(0)
-    stretches = F.array_distinct(F.flatten(F.array(*(F.when(F.length("t") >= k, F.transform(F.sequence(F.lit(1), F.length("t") - (k - 1)), lambda i, k=k: F.substr("t", i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in sizes))))
+    stretches = F.array_distinct(F.flatten(F.array(*(F.expr(f"IF(length(t) >= {k}, transform(sequence(1, length(t) - {k - 1}), i -> substr(t, i, {k})), array())") for k in sizes))))
     if n.count() <= broadcast_rows:
         hits = t.select(text_id, "t", F.explode(stretches).alias("anchor")).join(F.broadcast(n), "anchor")
         return hits.where(F.col("t").contains(F.col("n"))).groupBy(text_id).agg(F.min("client_id").alias("client_id"))
