@@ -17,14 +17,15 @@ from docveil.sources.tables import table
 
 #: Tokens of a block.
 BLOCK = 4096
-#: Fixed value: fractional part of the golden ratio.
-GOLDEN = 0.6180339887498949
+#: Fractional part of the golden ratio in units of 2 ** -64, and that unit's inverse.
+GOLDEN, UNIT = 11400714819323198485, 1 << 64
 #: Hash ranges each source is split into, so that no task lays out a whole source.
 RANGES = 256
 
 
 def shuffled(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """``source, doc_id, pass, begin, tokens``: where each use of a text begins in its source's stream.
+    """``source, doc_id, pass, begin, tokens``: where each use of a text begins in its source's stream; ``targets`` name
+    the ``passes`` over each ``source``.
 
     Prefix sums are taken in two steps: over the ranges of a source (a bounded number of rows), then within a range,
     so a source with a third of all rows is RANGES tasks' work.
@@ -35,7 +36,7 @@ def shuffled(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     total = part.groupBy("source").agg(F.sum("t").alias("stock"))
     w = Window.partitionBy("source", "r").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     laid = keyed.join(before, ["source", "r"]).withColumn("at", F.col("base") + F.sum("tokens").over(w) - F.col("tokens"))
-    return laid.join(F.broadcast(total.join(targets, "source")), "source").select("source", "doc_id", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)).alias("pass"), "at", "stock", "tokens").select(
+    return laid.join(F.broadcast(total.join(targets, "source")), "source").select("source", "doc_id", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"), "at", "stock", "tokens").select(
         "source", "doc_id", "pass", (F.col("at") + F.col("pass") * F.col("stock")).alias("begin"), "tokens"
     )
 
@@ -47,7 +48,8 @@ def schedule(spark: SparkSession, slots: int, weights: list[tuple[str, float]])
         rows.append((source, low, low + share))
         low += share
     bounds = F.broadcast(spark.createDataFrame([(s, a, b if i < len(rows) - 1 else 1.0) for i, (s, a, b) in enumerate(rows)], "source string, low double, high double"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("x"))
+    # Whole numbers, as a double would lose the point's own digits where slots are counted in billions.
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"CAST((CAST(id + 1 AS DECIMAL(18, 0)) * CAST({GOLDEN} AS DECIMAL(20, 0))) % CAST({UNIT} AS DECIMAL(20, 0)) AS DOUBLE) / {float(UNIT)!r}D").alias("x"))
     drawn = points.join(bounds, (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("slot", "source").withColumn("stretch", F.floor(F.col("slot") / 8192))
     # Ranks per source in two steps: slots of the stretches before, then within the stretch.
     counts = drawn.groupBy("source", "stretch").agg(F.count("*").alias("n"))
@@ -64,6 +66,9 @@ def mixed(docs: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 1
     a text has its own ``pass``, at most ``max_repeats`` of them. Texts without tokens, with a null source or one that
     has no target are left out, as are targets that are null, not positive or have no texts; the shares of the rest
     are scaled to 1. No text, no row.
+
+    The mixture ends where the first source is used up: a source of 1 million tokens, to be taken twice, with a share
+    of a half allows 4 million tokens in all, however much the others hold. ``shares`` shows what each one gave.
     """
     spark = docs.sparkSession
     goal = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -75,7 +80,9 @@ def mixed(docs: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 1
     room = min((stock[s]["stock"] * stock[s]["max_repeats"] / share for s, share in weights), default=0.0)
     # The discrepancy of the sequence may give a source a few slots more than its share.
     slots = int(room // block)
-    uses = shuffled(sized, F.broadcast(goal), seed).withColumn("turn", F.floor(F.col("begin") / block))
+    # Passes the schedule may ask for, a few slots more than the share included; no more are laid out.
+    passes = [(s, int(min(stock[s]["max_repeats"], (slots * share + 64) * block // stock[s]["stock"] + 1))) for s, share in weights]
+    uses = shuffled(sized, F.broadcast(spark.createDataFrame(passes, "source string, passes int")), seed).withColumn("turn", F.floor(F.col("begin") / block))
     return uses.join(schedule(spark, slots, weights), ["source", "turn"]).select("slot", "source", "doc_id", F.col("pass").cast("int").alias("pass"), "tokens")
 
 

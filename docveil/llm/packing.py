@@ -20,8 +20,8 @@ from docveil.llm.tokens import token_counts
 from docveil.operators.lineage import checkpointed
 from docveil.sources.tables import table
 
-#: Windows of one shard, on average; a shard is one task's work whatever the size of the corpus.
-WINDOWS = 224
+#: Windows and items of one shard, on average; a shard is one task's work whatever the size of the corpus and of its texts.
+WINDOWS, ITEMS = 224, 8192
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -120,26 +120,28 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
 OUT = "container string, capacity_tokens int, shard long, window long, doc_id long, piece int, first_token long, tokens long"
 
 
-def packed(docs: DataFrame, capacities: DataFrame, windows: int = WINDOWS) -> DataFrame:
+def packed(docs: DataFrame, capacities: DataFrame, windows: int = WINDOWS, items: int = ITEMS) -> DataFrame:
     """Each item of ``doc_id, text`` in a container of each capacity.
 
     Columns out: ``container, capacity_tokens, shard, window, doc_id, piece, first_token, tokens``: the piece of the
-    text that begins at token ``first_token``; a text of at most the capacity is one piece. Full pieces are windows of
-    their own (shard -1). Texts of no token need no room and are left out, capacities below 1 or null as well. Rows are
+    text that begins at token ``first_token``; a text of at most the capacity is one piece. ``shard, window`` tell the
+    windows of a container apart. Full pieces are windows of their own: the shard is negative, one for each piece, and
+    the window is the row's own number. Texts of no token need no room and are left out, capacities below 1 or null as well. Rows are
     kept as they come: a doc_id given twice is packed twice.
     """
-    sized = checkpointed(token_counts(docs, "doc_id").where("tokens > 0"))
+    # The number of a row is fixed by the checkpoint; rows of one doc_id are told apart by it.
+    sized = checkpointed(token_counts(docs, "doc_id").where("tokens > 0").withColumn("row", F.monotonically_increasing_id()))
     # A few rows, one per container.
     caps = capacities.where("capacity_tokens > 0 and container is not null").select("container", F.col("capacity_tokens").cast("int")).distinct().collect()
     listed = F.array(*(F.struct(F.lit(c).alias("container"), F.lit(n).alias("capacity_tokens")) for c, n in sorted(map(tuple, caps)))) if caps else F.expr("cast(array() as array<struct<container:string,capacity_tokens:int>>)")
-    pieces = sized.select("doc_id", "tokens", F.explode(listed).alias("cap")).select("doc_id", "tokens", "cap.*").select(
-        "container", "capacity_tokens", "doc_id", F.posexplode(F.expr("sequence(0L, greatest(ceil(tokens / capacity_tokens) - 1, 0L))")).alias("piece", "p"), "tokens"
-    ).select("container", "capacity_tokens", "doc_id", "piece", (F.col("p") * F.col("capacity_tokens")).alias("first_token"), F.least(F.col("capacity_tokens").cast("long"), F.col("tokens") - F.col("p") * F.col("capacity_tokens")).alias("tokens"))
-    full = pieces.where("tokens = capacity_tokens").select("container", "capacity_tokens", F.lit(-1).cast("long").alias("shard"), F.xxhash64("doc_id", "piece").alias("window"), "doc_id", "piece", "first_token", "tokens")
+    pieces = sized.select("doc_id", "row", "tokens", F.explode(listed).alias("cap")).select("doc_id", "row", "tokens", "cap.*").select(
+        "container", "capacity_tokens", "doc_id", "row", F.posexplode(F.expr("sequence(0L, greatest(ceil(tokens / capacity_tokens) - 1, 0L))")).alias("piece", "p"), "tokens"
+    ).select("container", "capacity_tokens", "doc_id", "row", "piece", (F.col("p") * F.col("capacity_tokens")).alias("first_token"), F.least(F.col("capacity_tokens").cast("long"), F.col("tokens") - F.col("p") * F.col("capacity_tokens")).alias("tokens"))
+    full = pieces.where("tokens = capacity_tokens").select("container", "capacity_tokens", (-1 - F.col("piece")).cast("long").alias("shard"), F.col("row").alias("window"), "doc_id", "piece", "first_token", "tokens")
     part = pieces.where("tokens < capacity_tokens")
     # One row per capacity tells how many shards its items need.
-    shards = part.groupBy("container", "capacity_tokens").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / (F.max("capacity_tokens") * F.lit(windows)))).alias("shards"))
-    sharded = part.join(F.broadcast(shards), ["container", "capacity_tokens"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), "shards").cast("long")).drop("shards")
+    shards = part.groupBy("container", "capacity_tokens").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / (F.max("capacity_tokens") * F.lit(windows))), F.ceil(F.count("*") / F.lit(items))).alias("shards"))
+    sharded = part.join(F.broadcast(shards), ["container", "capacity_tokens"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), "shards").cast("long")).drop("shards", "row")
     return full.unionByName(sharded.groupBy("container", "capacity_tokens", "shard").applyInPandas(_pack_group, OUT))
 
 

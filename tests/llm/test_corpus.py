@@ -125,6 +125,19 @@ def test_packed(spark):
     assert packing.packed(docs(spark).limit(0), caps).count() == 0
 
 
+def test_rows_of_one_id_have_windows_of_their_own(spark):
+    df = spark.createDataFrame([(1, "uzun metin " * 900)] * 3 + [(2, "kira")] * 2, "doc_id long, text string")
+    p = packing.packed(df, spark.createDataFrame([("c", 64)], "container string, capacity_tokens int")).toPandas()
+    assert p.groupby(["shard", "window"])["tokens"].sum().max() <= 64
+    assert p[p.doc_id == 1].groupby("piece").size().eq(3).all() and (p.doc_id == 2).sum() == 2
+
+
+def test_shards_are_bounded_by_items_too(spark):
+    df = spark.range(500).select(F.lit(7).alias("doc_id"), F.lit("a").alias("text"))
+    p = packing.packed(df, spark.createDataFrame([("c", 10_000)], "container string, capacity_tokens int"), items=50).toPandas()
+    assert len(p) == 500 and 5 < p.shard.nunique() <= 10 and p.groupby("shard").size().max() < 150
+
+
 def test_mixed(spark):
     targets = spark.createDataFrame([("s0", 0.5, 4), ("s1", 0.3, 2), ("s2", 0.2, 1), ("absent", 0.4, 1), (None, 0.1, 1), ("bad", None, 1)], "source string, target_share double, max_repeats int")
     m = mixing.mixed(docs(spark), targets, block=512)
@@ -145,3 +158,10 @@ def test_schedule_follows_the_weights(spark):
         assert own.turn.tolist() == list(range(len(own)))
         for upto in (100, 1000, 20_000):
             assert abs((own.slot < upto).sum() - share * upto) < 6
+
+
+def test_points_keep_their_digits(spark):
+    """As fractions of whole-number products, also far out."""
+    for n in (1, 10**6, 10**12 + 7):
+        got = spark.range(n - 1, n).selectExpr(f"CAST((CAST(id + 1 AS DECIMAL(18, 0)) * CAST({mixing.GOLDEN} AS DECIMAL(20, 0))) % CAST({mixing.UNIT} AS DECIMAL(20, 0)) AS DOUBLE) / {float(mixing.UNIT)!r}D").collect()[0][0]
+        assert abs(got - n * mixing.GOLDEN % mixing.UNIT / mixing.UNIT) < 1e-15
