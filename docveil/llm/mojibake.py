@@ -2,8 +2,8 @@
 
 Adjacent characters are scored by corpus mutual information. The marginals are floored: a character met only in
 damaged text would otherwise look strongly tied to its equally damaged neighbours. Where the score stays low over a
-stretch (a maximum-scoring segment of improbability), the words it touches are put through the inverse of each
-plausible wrong decoding, and a reading that raises the score is taken as the original.
+stretch (a maximum-scoring segment of improbability, sought over whole texts, many at a time), the words it touches are
+put through the inverse of each plausible wrong decoding, and a reading that raises the score is taken as the original.
 """
 
 from __future__ import annotations
@@ -32,21 +32,21 @@ IMPROBABLE = 0.0
 GAIN = 2.0
 #: Decodings that damage text, and what the text was before.
 WRONG = ("cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp857")
-RIGHT = ("cp1254", "cp857")
+RIGHT = ("cp1254", "cp857", "mac_turkish")
 #: Letters of the five languages; they are not taken for a wrongly read byte on their own.
 NATURAL = "ÄÖÜäöüßÀÂÆÇÉÈÊËÎÏÔŒÙÛàâæçéèêëîïôœùûÌÍÒÓìíòóÚúĞİŞğışÁá"
 #: Bins of the word sketch, in each of its two rows.
 BINS = 1 << 19
 #: A word is sound as it stands when it occurs KNOWN times and this often for each time its best reading does.
 KNOWN, OFTENER = 6, 5
+#: Damage that left only letters of the five languages is believed when its reading occurs this many times as often.
+CERTAIN = 20
+#: Characters gone over at a time.
+CHUNK = 1 << 19
 #: Signs that stand in sound text, after a unit or alone.
 SIGNS = "²³½¼¾№™®©§€£°ªº…„“”–—•«»‰†‡·±×÷¹µ"
 
 
-def symbols(text: str) -> np.ndarray:
-    return _symbols(codepoints(text))
-
-
 def _symbols(cps: np.ndarray) -> np.ndarray:
     return np.where(cps < LATIN, cps, LATIN + (cps >> 6) % (SYMBOLS - LATIN))
 
@@ -115,9 +115,11 @@ class Statistics:
         rows = [self.words[r][_word_bins(cps, r)] for r in range(2)]
         return float(np.minimum(*rows).min()) if len(rows[0]) else 0.0
 
-    def score(self, text: str) -> float:
-        s = symbols(text)
-        return float(self.w[s[:-1], s[1:]].sum()) if len(s) > 1 else 0.0
+    def score(self, word: str) -> float:
+        """Sum over the pairs of a word; numpy is slower on so few."""
+        s = [c if c < LATIN else LATIN + (c >> 6) % (SYMBOLS - LATIN) for c in map(ord, word)]
+        pair = self.w.item
+        return sum(pair(a, b) for a, b in zip(s, s[1:], strict=False))
 
     def sound(self, word: str, reading: str) -> bool:
         n = self.count(word)
@@ -183,8 +185,7 @@ def _from_utf8(word: str, wrong: str) -> str:
 
 #: A character that no sound text of the five languages needs, or a question mark before a letter: without one, no
 #: inverse mapping can be tried. Signs and foreign letters are among them; the test of the word decides.
-UNUSUAL = f"[^\\x00-\\x7f{NATURAL}]|[?][A-Za-z]"
-STRANGE = re.compile(UNUSUAL)
+STRANGE = re.compile(f"[^\\x00-\\x7f{NATURAL}]|[?][A-Za-z]")
 Path = tuple[str, ...]
 
 
@@ -215,83 +216,152 @@ def readings(word: str) -> Iterator[tuple[str, Path]]:
                 yield r, ("bytes", wrong, right)
 
 
-def segments(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Maximum-scoring segments of a text: left to right, each grown while its running sum stays above zero."""
-    start, run, best, end = 0, 0.0, 0.0, -1
-    for i in np.flatnonzero(x > 0).tolist() if not (x > 0).all() else range(len(x)):
-        if end >= 0:
-            run += float(x[last + 1 : i].sum())
-            if run <= 0:
-                yield start, end + 1
-                end = -1
-        if end < 0:
-            start, run, best = i, 0.0, 0.0
-        run += float(x[i])
-        last = i
-        if run >= best:
-            best, end = run, i
-    if end >= 0:
-        yield start, end + 1
+def segments(x: np.ndarray) -> np.ndarray:
+    """Marks what the maximum-scoring segments of ``x`` cover: the running sum is kept at zero or above, each stretch of
+    it above zero is one segment, which ends where the sum is largest; what rises again after that is one too.
 
-
-def _suspect(word: str) -> bool:
-    return any(c > "\x7f" for c in word)
+    A very low score parts texts that are laid end to end."""
+    total = np.cumsum(x, dtype=np.float64)
+    run = total - np.minimum(np.minimum.accumulate(total), 0.0)
+    up = run > 0
+    edge = np.flatnonzero(np.diff(up, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return up
+    best = np.repeat(np.maximum.reduceat(run, starts), ends - starts)
+    inside = np.flatnonzero(up)
+    tops = run[inside] == best
+    last = np.zeros(len(starts), np.int64)
+    last[np.repeat(np.arange(len(starts)), ends - starts)[tops]] = inside[tops]
+    cover = np.zeros(len(x) + 1, np.int8)
+    cover[starts] += 1
+    cover[last + 1] -= 1
+    return (np.cumsum(cover[:-1]) > 0) | (x > 0)
 
 
 #: The sign for what could not be decoded, and a question mark in its place within a word.
 LOST = "�"
 ASKED = re.compile(r"[^\W\d_]\?+[^\W\d_]|(?<![^\s(\"'])\?[^\W\d_]")
+_APART = -1e6
+
+
+def suspects(stats: Statistics, texts: list[str]) -> Iterator[tuple[int, str, list[tuple[int, int]]]]:
+    """Number, text and places of the words to be read anew, of each text that has any: those an improbable segment
+    touches at a character that a wrong decoding can have left (any beyond ASCII, or a question mark before a letter)."""
+    at = 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end]) + 1
+            end += 1
+        joined = "\n".join(texts[at:end])
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[at:end])])
+        if len(joined) > 1 and not joined.isascii() or "?" in joined:
+            yield from ((at + i, texts[at + i], [(a - int(begins[i]), b - int(begins[i])) for a, b in words]) for i, words in _touched(stats, joined, begins))
+        at = end
+
+
+def _touched(stats: Statistics, joined: str, begins: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    cps = codepoints(joined)
+    if len(cps) < 2:
+        return
+    s = _symbols(cps)
+    x = IMPROBABLE - stats.w[s[:-1], s[1:]]
+    border = begins[1:-1] - 1
+    x[border[border < len(x)]] = _APART
+    x[border[border > 0] - 1] = _APART
+    low = segments(x)
+    # A character is touched by the pair on either side.
+    touched = np.concatenate((low, [False])) | np.concatenate(([False], low))
+    asked = (cps == 63) & (np.concatenate((cps[1:], [0])) >= 63)
+    spots = np.flatnonzero(touched & ((cps > 0x7F) | asked))
+    blanks = np.flatnonzero((cps == 32) | (cps == 10) | (cps == 9))
+    k = np.unique(np.searchsorted(blanks, spots))
+    edges = np.concatenate(([-1], blanks, [len(cps)]))
+    starts, ends = edges[k] + 1, edges[k + 1]
+    owner = np.searchsorted(begins, starts, "right") - 1
+    for i in np.unique(owner).tolist():
+        own = owner == i
+        yield i, list(zip(starts[own].tolist(), ends[own].tolist(), strict=True))
+
+
+class Reader:
+    """Reads words anew; what it finds for a word is kept, as words recur. ``KEPT`` words at most are kept."""
+
+    KEPT = 200_000
+
+    def __init__(self, stats: Statistics):
+        self.stats, self._kept = stats, {}
+
+    def options(self, word: str) -> list[tuple[str, Path]]:
+        """Readings more probable than the word itself, the best one first; none if the word is sound."""
+        if (found := self._kept.get(word)) is None:
+            if len(self._kept) >= self.KEPT:
+                self._kept.clear()
+            found = self._kept[word] = self._natural(word) if not STRANGE.search(word) else self._read(word)
+        return found
+
+    def _read(self, word: str) -> list[tuple[str, Path]]:
+        if word.isascii():
+            return []
+        base = self.stats.score(f" {word} ")
+        rated = [(path[0] == "bytes", -gain, n, r, path) for n, (r, path) in enumerate(readings(word)) if (gain := _gain(self.stats, word, base, r, path)) > 0]
+        rated.sort(key=lambda x: x[:3])
+        if not rated or self.stats.sound(word, rated[0][3]):
+            return []
+        return [(r, path) for *_, r, path in rated]
+
+    def _natural(self, word: str) -> list[tuple[str, Path]]:
+        """All its letters are those of the five languages: the corpus must know the reading much better than the word."""
+        if not any(c in _CONFUSED for c in word):
+            return []
+        base, out, seen = self.stats.score(f" {word} "), [], set()
+        for wrong, right in _PAIRS:
+            r = word.translate(_single(wrong, right))
+            if r == word or r in seen or r.isascii() or STRANGE.search(r):
+                continue
+            seen.add(r)
+            gone = sum(a != b for a, b in zip(word, r, strict=True))
+            if self.stats.score(f" {r} ") - base > GAIN * gone and (n := self.stats.count(r)) >= KNOWN and n > CERTAIN * (self.stats.count(word) + self.stats.noise):
+                out.append((-n, r, ("bytes", wrong, right)))
+        return [(r, path) for _, r, path in sorted(out)]
+
+
+def repair(reader: Reader, text: str, words: list[tuple[int, int]], first: bool = False) -> tuple[str, int, int]:
+    """The text with the damaged ones of ``words`` restored; the number restored, and of those damaged past knowing.
+
+    Of a word's readings, one by a mapping that restored a word before goes first. With ``first``, the first finding
+    ends it."""
+    out, at, fixed, lost, known = [], 0, 0, 0, []
+    for a, b in words:
+        word = text[a:b]
+        options = reader.options(word)
+        new, path = next(((r, p) for r, p in options if p in known and not STRANGE.search(r)), options[0] if options else (word, None))
+        if path and word[-1] in "-¬" and (rest := re.match(r"[ \t]*\n\s*([^\W\d_]+)", text[b:])) and reader.stats.sound(word[:-1] + rest[1], new[:-1] + rest[1]):
+            new, path = word, None
+        if path:
+            fixed += 1
+            known += [path] if path not in known else []
+        elif LOST in word or ASKED.search(word) or any("\x80" <= c <= "\x9f" for c in word):
+            lost += 1
+        out += [text[at:a], new]
+        at = b
+        if first and fixed + lost:
+            return text, fixed, lost
+    return "".join([*out, text[at:]]), fixed, lost
 
 
-def repair(stats: Statistics, text: str, first: bool = False) -> tuple[str, int, int]:
-    """The text with damaged words restored; the number of words restored, and of those damaged past knowing.
-
-    A mapping that restored one word is tried first on the following ones. With ``first``, the first finding ends it.
-    """
-    fixed, lost, todo, at = 0, 0, [], 0
-    # Improbable runs are sought about the unusual characters, each with the word it stands in.
-    for m in STRANGE.finditer(text):
-        if m.start() < at:
-            continue
-        a = max(text.rfind(c, at, m.start()) for c in " \n\t") + 1
-        b = min((i for c in " \n\t" if (i := text.find(c, m.start())) >= 0), default=len(text))
-        a = max(a, at)
-        at = b
-        s = symbols(text[max(0, a - 1) : b + 1])
-        if next(segments(IMPROBABLE - stats.w[s[:-1], s[1:]]), None):
-            todo.append((a, b))
-    out, at, known = [], 0, []
-    for a, b in todo:
-        out.append(text[at:a])
-        at, end = b, a
-        for piece in _split(text[a:b]):
-            end += len(piece)
-            new = _best(stats, piece, known) if _suspect(piece) else piece
-            if new != piece and piece[-1] in "-¬" and (rest := re.match(r"[ \t]*\n\s*([^\W\d_]+)", text[end:])) and stats.sound(piece[:-1] + rest[1], new[:-1] + rest[1]):
-                new = piece
-            if new != piece:
-                fixed += 1
-            elif LOST in piece or ASKED.search(piece) or any("\x80" <= c <= "\x9f" for c in piece):
-                lost += 1
-            out.append(new)
-            if first and fixed + lost:
-                return text, fixed, lost
-    out.append(text[at:])
-    return "".join(out), fixed, lost
-
-
-def _split(run: str) -> Iterator[str]:
-    word = ""
-    for c in run:
-        if c in " \n\t":
-            if word:
-                yield word
-            yield c
-            word = ""
-        else:
-            word += c
-    if word:
-        yield word
+def repaired(reader: Reader, texts: list[str], first: bool = False) -> dict[int, tuple[str, int, int]]:
+    """``repair`` of the texts that are damaged, by their number."""
+    out = {}
+    for i, text, words in suspects(reader.stats, texts):
+        new, fixed, lost = repair(reader, text, words, first)
+        if fixed + lost:
+            out[i] = (new, fixed, lost)
+    for i, t in enumerate(texts):
+        if i not in out and LOST in t:
+            out[i] = (t, 0, 1)
+    return out
 
 
 def _gain(stats: Statistics, word: str, base: float, r: str, path: Path) -> float:
@@ -308,38 +378,18 @@ def _gain(stats: Statistics, word: str, base: float, r: str, path: Path) -> floa
     return gain if gain > GAIN * max(1, len(gone)) else 0.0
 
 
-def _best(stats: Statistics, word: str, known: list[Path]) -> str:
-    base, found, most, best = stats.score(f" {word} "), word, 0.0, None
-    for path in known:
-        r = reading(word, path)
-        if r != word and not STRANGE.search(r) and _gain(stats, word, base, r, path) > 0:
-            found, best = r, path
-            break
-    else:
-        for r, path in readings(word):
-            if best and best[0] != "bytes" and path[0] == "bytes":
-                break
-            if (gain := _gain(stats, word, base, r, path)) > most:
-                found, most, best = r, gain, path
-    if best is None or stats.sound(word, found):
-        return word
-    if best not in known:
-        known.append(best)
-    return found
+#: Pairs of code pages by which a letter of the five languages may have come from another; these letters.
+_PAIRS = [(wrong, right) for wrong in WRONG for right in RIGHT if wrong != right and any(chr(c) in NATURAL and to in NATURAL for c, to in _single(wrong, right).items())]
+_CONFUSED = frozenset(chr(c) for wrong, right in _PAIRS for c, to in _single(wrong, right).items() if chr(c) in NATURAL and to in NATURAL)
 
 
 def _repairer(stats: Statistics, only_found: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(stats)
         for batch in batches:
             src, keys, texts = (batch.column(i) for i in range(3))
-            out = []
-            for i, t in enumerate(texts.to_pylist()):
-                if not t:
-                    continue
-                new, fixed, lost = repair(stats, t, only_found)
-                lost = lost or (1 if LOST in t else 0)
-                if fixed or lost:
-                    out.append((src[i].as_py(), keys[i].as_py(), None if only_found else new, fixed, lost))
+            found = repaired(reader, [t or "" for t in texts.to_pylist()], only_found)
+            out = [(src[i].as_py(), keys[i].as_py(), None if only_found else new, fixed, lost) for i, (new, fixed, lost) in found.items()]
             cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
             types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["src", "row_key", "restored", "fixed", "lost"])
@@ -355,7 +405,8 @@ def restore(texts: DataFrame, stats_of: DataFrame | None = None, only_found: boo
     ``stats_of`` (by default the texts themselves).
     """
     stats = statistics(texts if stats_of is None else stats_of)
-    damaged = texts.where(F.col("text").rlike(UNUSUAL)).select("src", "row_key", "text")
+    # A text of ASCII without a question mark is no wrongly read text: bytes below 128 are read alike everywhere.
+    damaged = texts.where(F.col("text").rlike(r"[^\x00-\x3e@-\x7f]")).select("src", "row_key", "text")
     return damaged.mapInArrow(_repairer(stats, only_found), "src string, row_key string, restored string, fixed int, lost int").dropDuplicates(["src", "row_key"])
 
 
@@ -365,9 +416,11 @@ def sound_rows(texts: DataFrame, stats_of: DataFrame, *keep: str) -> DataFrame:
     kinds = dict(texts.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(stats)
         for batch in batches:
-            ok = [not t or (LOST not in t and not any(repair(stats, t, True)[1:])) for t in batch.column(len(keep)).to_pylist()]
-            yield batch.select(list(keep)).filter(pa.array(ok))
+            texts_ = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            bad = repaired(reader, texts_, True)
+            yield batch.select(list(keep)).filter(pa.array([i not in bad for i in range(len(texts_))], pa.bool_()))
 
     return texts.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep))
 

@@ -18,25 +18,58 @@ def stats_of(texts):
     return mojibake.Statistics(np.array(out["pair"]), np.array(out["n"], float))
 
 
+def repair(stats, text):
+    return mojibake.repaired(mojibake.Reader(stats), [text]).get(0, (text, 0, 0))
+
+
+def test_segments_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x = rng.integers(-4, 4, rng.integers(1, 30)).astype(np.float32)
+        want, i = x > 0, 0
+        while i < len(x):
+            run, best, top, j = 0.0, 0.0, -1, i
+            while j < len(x) and (run := run + float(x[j])) > 0:
+                if run >= best:
+                    best, top = run, j
+                j += 1
+            want[i : top + 1] = True
+            i = j + 1
+        assert (mojibake.segments(x) == want).all()
+
+
+def test_natural_letters_need_the_corpus():
+    stats = stats_of(CLEAN + ["Aurélie est venue, Aurélie a signé."] * 30 + ["AurÚlie"])
+    assert repair(stats, "Mme AurÚlie")[0] == "Mme Aurélie"
+    assert repair(stats, "Mme BerÚnice")[1:] == (0, 0)
+
+
+def test_many_texts_at_once():
+    stats = stats_of(CLEAN)
+    texts = [*CLEAN[:4], "Ã§alÄ±ÅŸan", "", "x" * (mojibake.CHUNK + 5), "geÃ§irilmiÅŸtir " * 3]
+    got = mojibake.repaired(mojibake.Reader(stats), texts)
+    assert {i: r[0] for i, r in got.items()} == {4: "çalışan", 7: "geçirilmiştir " * 3}
+
+
 def test_damage_is_undone():
     stats = stats_of(CLEAN)
     sound = "Şirketin çalışanlar görüşmüştür"
     for wrong in ("cp1252", "cp1254", "mac_roman", "cp437", "latin-1"):
         bad = "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in sound.encode())
-        assert mojibake.repair(stats, bad)[0] == sound, wrong
-    assert mojibake.repair(stats, sound.encode("cp1254").decode("latin-1"))[1] > 0
+        assert repair(stats, bad)[0] == sound, wrong
+    assert repair(stats, sound.encode("cp1254").decode("latin-1"))[1] > 0
 
 
 def test_sound_texts_stay():
     stats = stats_of(CLEAN + ["Þingvellir ve Łódź limanı, 240 m² arsa, ½ pay, Kuzeyışık™, № 17, договор"] * 8)
     for t in ("Þingvellir ve Łódź limanı, 240 m² arsa, ½ pay, Kuzeyışık™, № 17, договор", *CLEAN[:4], "", "?"):
-        assert mojibake.repair(stats, t) == (t, 0, 0)
+        assert repair(stats, t) == (t, 0, 0)
 
 
 def test_lost_characters_count():
     stats = stats_of(CLEAN)
-    assert mojibake.repair(stats, "Bor�lu")[2] == 1
-    assert mojibake.repair(stats, "Sorular?n?z? yazabilir mi?")[2] == 1
+    assert repair(stats, "Bor�lu")[2] == 1
+    assert repair(stats, "Sorular?n?z? yazabilir mi?")[2] == 1
 
 
 def test_restore_edges(spark):
