@@ -115,3 +115,38 @@ def test_short_surnames_are_linked(spark):
     got = names.linked(spark.createDataFrame(c, "id long, name string, aliases string"), spark.createDataFrame(f, "id long, sample string, category string")).where("client").collect()
     e = {r["rec"]: r["entity"] for r in got}
     assert e[1] == e[2] and e[3] == e[4] and len({e[1], e[3], e[5]}) == 3
+
+
+def test_values_outside_the_test_tables():
+    assert spans("Witness Siobhan Okafor was heard; call (415) 555-2671 or write to " + "a" * 90 + "@host.example") == [("Siobhan Okafor", "natural_person_name"), ("(415) 555-2671", "phone_number"), ("a" * 90 + "@host.example", "email_address")]
+    assert spans("SANIK Rukiye Tekin, Telefon 312 555 04 05.")[-1] == ("312 555 04 05", "phone_number")
+    assert spans("Er wohnt in 20 Jahren in der Lindenallee 12, 10115 Berlin.")[0] == ("Lindenallee 12, 10115 Berlin", "address")
+    assert spans("He lives at " + "x" * 300 + " 12 Long Acre Road, and Kaya, Ayşe at 7 Mill Lane.") == [("12 Long Acre Road", "address"), ("Kaya, Ayşe", "natural_person_name"), ("7 Mill Lane", "address")]
+    assert spans("Ayşe Su Ela Can Deniz Yaz Kaya geldi")[0][0] == "Ayşe Su Ela Can Deniz Yaz Kaya"
+    for t in ("Order 66 of the day", "WITNESS STATEMENT\n   This power", "Chapter 3 (4) of 12", "Road works"):
+        assert spans(t) == [], t
+
+
+def test_leaked_placeholders():
+    value = lambda raw, kind: (x := personal.leaked(raw, kind)) and raw[x[0] : x[1]]
+    for raw in ("[PERSON]", "[PERSON_12", "(PERSON_3)", "[person_1]", "", "[PERSON_", "[", "PERSON PERSON"):
+        assert value(raw, "natural_person_name") is None, raw
+    assert value("[PERSON: Y._Kaya]", "natural_person_name") == "Y._Kaya" and value("PERSON Ayşe Kaya", "natural_person_name") == "Ayşe Kaya"
+    assert value("[PHONE_+90 230 248 65 57]", "phone_number") == "+90 230 248 65 57" and value("[PHONE_12]", "phone_number") is None
+    assert value("[NATIONAL_ID: 98096131760]", "identity_number") == "98096131760" and value("x [at] y.example", "email_address") == "x [at] y.example"
+    assert value("[ADDRESS: Gül Sokak No: 9]", "address") == "Gül Sokak No: 9" and value("[ADDRESS_3]", "address") is None
+
+
+def test_rare_given_names_are_found_by_the_join(spark):
+    f = spark.createDataFrame([(f"{g} {s}", "natural_person_name") for g in ("Ayşe", "Zülfü", "Oya") for s in ("Kaya", "Demir")] + [("Tek Kaya", "natural_person_name")] + [("Kaya Can", "natural_person_name")] * 2, "sample string, category string")
+    names_ = personal.given_names(f)
+    assert {r["given"] for r in names_.collect()} == {"Ayşe", "Zülfü", "Oya"}
+    t = spark.createDataFrame([("p", "1", None, "Dün ZÜLFÜ Er ile Zulfu Ak geldi."), ("p", "2", None, "Dün Oya Er geldi."), ("p", "3", None, "Dün yağmur yağdı."), ("p", "4", None, None)], "src string, row_key string, category string, text string")
+    got = [{(r["row_key"], tuple(r["starts"])) for r in personal.personal(t, *personal.split_names(names_, limit)).collect()} for limit in (10, 1)]
+    assert got[0] == got[1] == {("1", (4, 17)), ("2", (4,))}
+    assert personal.split_names(names_, 1)[1] is not None and personal.split_names(names_.limit(0)) == ([], None)
+
+
+def test_many_values_in_one_text():
+    t = " ".join(f"u{i}@host.example" for i in range(20_000))
+    assert len(personal.Finder([]).spans(t)) == 20_000
