@@ -23,6 +23,8 @@ FREQUENT, RATIO = 4, 15
 SHORTEST = 3
 #: Shortest word in which two places may be misread: with two changed, shorter ones are other words.
 TWICE_FROM = 5
+#: Lines before and after in which a header's next like is sought, among the set-off edge lines of the pages in order.
+NEXT = 4
 #: What is read, and what was printed.
 CONFUSIONS = (
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("lc", "k"), ("lı", "h"), ("li", "h"), ("ii", "u"), ("ii", "ü"), ("ri", "n"), ("n", "ri"), ("m", "in"), ("in", "m"), ("nı", "m"), ("vv", "w"), ("w", "vv"),
@@ -99,16 +101,19 @@ def headers(lines: DataFrame) -> DataFrame:
     seen = near.groupBy("src", "doc", "bone").agg(F.count_distinct("at").alias("n")).where("n >= 2").select("src", "doc", "bone")
     same = near.join(seen, ["src", "doc", "bone"], "left_semi")
     # Not letter for letter: compared with the document's own recurring lines, of which there are a few, and with the
-    # like lines of the pages next to it, as no two may be the same.
-    close = lambda other: (F.abs(F.length("bone") - F.length(other)) <= 3) & F.levenshtein("bone", other, 8).between(0, F.greatest(F.lit(1), F.floor(F.length("bone") / 6)))
+    # like lines of the pages next to it, as no two may be the same. A line counts once a page, however often scanned.
+    close = lambda other: (F.abs(F.length("bone") - F.length(other)) <= 15) & (F.levenshtein("bone", other) <= F.greatest(F.lit(1), F.floor(F.length("bone") / 6)))
     fuzzy = near.join(seen, ["src", "doc", "bone"], "left_anti").join(seen.withColumnRenamed("bone", "known"), ["src", "doc"]).where(close(F.col("known")))
-    w = Window.partitionBy("src", "doc", F.when(F.col("src") == "gold_labels", False).otherwise(F.col("top"))).orderBy("at", "line_no", "row_key")
+    place = F.when(F.col("src") == "gold_labels", False).otherwise(F.col("top"))
+    once = near.groupBy("src", "doc", place.alias("place"), "at", "bone").agg(F.min("line_no").alias("line_no"))
+    w = Window.partitionBy("src", "doc", "place").orderBy("at", "line_no", "bone")
     like = F.lit(False)
-    for k in range(1, 5):
+    for k in range(1, NEXT + 1):
         for side in (F.lag, F.lead):
             other = side(F.struct("bone", "at"), k).over(w)
             like = like | F.coalesce((other["at"] != F.col("at")) & (F.length("bone") >= 10) & close(other["bone"]), F.lit(False))
-    beside = near.withColumn("like", like).where("like")
+    alike = once.withColumn("like", like).where("like").select("src", "doc", "place", "at", "bone")
+    beside = near.withColumn("place", place).join(alike, ["src", "doc", "place", "at", "bone"], "left_semi")
     cols = ["src", "row_key", "line_no"]
     return same.select(*cols).union(fuzzy.select(*cols)).union(beside.select(*cols)).distinct()
 
@@ -160,14 +165,21 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _held(words: DataFrame, word: str, conf: DataFrame, held: str) -> DataFrame:
+    """``words`` with each confusion whose ``held`` side occurs in them, met by equality: a word is exploded to its
+    pieces, of which none is longer than the longest confusion."""
+    pieces = F.array_distinct(F.flatten(F.array(*(F.expr(f"IF(length({word}) >= {k}, transform(sequence(1, length({word}) - {k - 1}), i -> substr({word}, i, {k})), array())") for k in (1, 2, 3)))))
+    return words.withColumn(held, F.explode(pieces)).join(conf, held)
+
+
 def _sides(spark: SparkSession, vocab: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words that may be rare by each confusion they may hold, with the hash when it is undone; frequent words; the confusions."""
-    v = vocab.where(F.length("word").between(SHORTEST, 40) & F.col("word").rlike(r"\p{L}"))
+    v = vocab.where((F.length("word") >= SHORTEST) & F.col("word").rlike(r"\p{L}"))
     conf = F.broadcast(
         spark.createDataFrame(CONFUSIONS, "seen string, meant string").select("seen", "meant", (_value(F.col("meant")) - _value(F.col("seen"))).alias("diff"))
     )
     plain = f"^[a-z0-9{mojibake.NATURAL}-]+$"
-    rare = v.where(F.col("word").rlike(plain)).join(conf, F.col("word").contains(F.col("seen"))).select("word", "n", "seen", "meant", (_value(F.col("word")) + F.col("diff")).alias("h"))
+    rare = _held(v.where(F.col("word").rlike(plain)).withColumn("own", _value(F.col("word"))), "word", conf, "seen").select("word", "n", "seen", "meant", (F.col("own") + F.col("diff")).alias("h"))
     frequent = v.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike(r"\p{N}")).select(F.col("word").alias("correction"), F.col("n").alias("m"), _value(F.col("word")).alias("h"))
     return rare, frequent, conf
 
@@ -188,7 +200,7 @@ def misread_twice(spark: SparkSession, vocab: DataFrame, once: DataFrame) -> Dat
     They meet half way: a rare word's hash with one undone is a frequent word's with the other one done."""
     rare, frequent, conf = _sides(spark, vocab)
     rare = rare.where(F.length("word") >= TWICE_FROM).join(once.select("word"), "word", "left_anti")
-    done = frequent.where(F.col("m") >= RATIO).join(conf.toDF("seen2", "meant2", "diff2"), F.col("correction").contains(F.col("meant2"))).select("correction", "m", "seen2", "meant2", (F.col("h") - F.col("diff2")).alias("h"))
+    done = _held(frequent.where(F.col("m") >= RATIO), "correction", F.broadcast(conf.toDF("seen2", "meant2", "diff2")), "meant2").select("correction", "m", "seen2", "meant2", (F.col("h") - F.col("diff2")).alias("h"))
     at_places = F.expr(
         "exists(sequence(1, length(word)), i -> substr(word, i, length(seen)) = seen AND left(correction, i - 1 + length(meant)) = concat(left(word, i - 1), meant) AND exists(sequence(i + length(seen), length(word) + 1), j -> substr(word, j, length(seen2)) = seen2 "
         "AND concat(left(word, i - 1), meant, substr(word, i + length(seen), j - i - length(seen)), meant2, substr(word, j + length(seen2))) = correction))"
@@ -197,20 +209,55 @@ def misread_twice(spark: SparkSession, vocab: DataFrame, once: DataFrame) -> Dat
     return hits.groupBy("word").agg(F.max_by("correction", F.struct("m", "correction")).alias("correction"))
 
 
+#: Letters that digits are misread for, in small letters, and these digits.
+AS_LETTERS, AS_DIGITS = "oıilszb", "0111526"
+
+
+def shapes(vocab: DataFrame) -> DataFrame:
+    """``shape, number``: shapes of words of letters and digits that are misread: a ``number`` with letters in the place
+    of digits, or a word with a digit in the place of a letter.
+
+    The words of such shapes are mostly rare (numbers, names), so it is shapes that are counted, digits as 9 and, for
+    words, letters as a. A shape's anagram hash changes by the known differences when all its confusions are undone at
+    once; it is joined with the frequent shapes on that hash, and the substitution is verified in place."""
+    part = vocab.select(F.explode(F.split("word", "[-‐]")).alias("p"), "n").where("p <> ''").withColumn("s", F.regexp_replace("p", "[0-9]", "9"))
+    letters, digits = F.col("s").rlike(r"\p{L}"), F.col("s").contains("9")
+    as_word = F.regexp_replace("s", r"\p{L}", "a")
+    counted = part.groupBy(F.when(letters & digits, F.col("s")).when(letters, as_word).otherwise(F.col("s")).alias("s"), (letters & digits).alias("mixed")).agg(F.sum("n").alias("n"))
+    frequent = counted.where(f"NOT mixed AND n >= {FREQUENT}").select(F.col("s").alias("printed"), F.col("n").alias("m"), _value(F.col("s")).alias("h"))
+    diffs = lambda seen, meant: sum((F.length(seen) - F.length(F.translate(seen, c, ""))) * (_value(F.lit(meant)) - _value(F.lit(c))) for c in AS_LETTERS)
+    s = F.col("s")
+    numbers = counted.where("mixed").select("s", "n", F.lit(True).alias("number"), F.translate(s, AS_LETTERS, "9" * len(AS_LETTERS)).alias("undone"), (_value(s) + diffs(s, "9")).alias("h"))
+    words = counted.where("mixed").groupBy(as_word.alias("s")).agg(F.sum("n").alias("n")).select("s", "n", F.lit(False).alias("number"), F.translate("s", "9", "a").alias("undone"), (_value(s) + (F.length(s) - F.length(F.translate(s, "9", ""))) * (_value(F.lit("a")) - _value(F.lit("9")))).alias("h"))
+    hits = numbers.unionByName(words).join(frequent, "h").where((F.col("m") >= RATIO * F.col("n")) & (F.col("undone") == F.col("printed")))
+    return hits.select(F.col("s").alias("shape"), "number").distinct()
+
+
+def misshapen(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``words`` (column ``word``) a part of which has one of the ``known`` shapes; adds ``correction``, the
+    number read with digits, null for words."""
+    mixed = words.where(F.col("word").rlike(r"\p{L}") & F.col("word").rlike("[0-9]"))
+    shape = F.regexp_replace(F.col("p"), "[0-9]", "9")
+    both = F.array(F.struct(shape.alias("shape"), F.lit(True).alias("number")), F.struct(F.regexp_replace(shape, r"\p{L}", "a").alias("shape"), F.lit(False).alias("number")))
+    parts = mixed.withColumn("p", F.explode(F.split("word", "[-‐]"))).withColumn("x", F.explode(both)).select(*words.columns, "x.*")
+    return parts.join(known, ["shape", "number"]).withColumn("correction", F.when(F.col("number"), F.translate("word", AS_LETTERS, AS_DIGITS))).drop("shape", "number")
+
+
 #: Misread words that are broadcast, at most: about 10 MB.
 BROADCAST_ROWS = 200_000
-#: Longs in the word filter; a word is one bit of them.
-_FILTER = 1 << 15
+#: Longs in the word filter, at least and at most (32 MB); a word is one bit of them, and each has sixteen to itself.
+FILTER = (1 << 15, 1 << 22)
 
 
-def _filtered(words: DataFrame, keep: DataFrame) -> DataFrame:
-    """Those of ``words`` that may be in ``keep``: by a bit map of fixed size, so that the join need not shuffle all."""
-    h = F.pmod(F.xxhash64("word"), F.lit(_FILTER * 64))
-    bits = keep.select(F.floor(h / 64).alias("slot"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(word), {_FILTER * 64}) % 64))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    row = bits.agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(_FILTER - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("bits"))
-    row = checkpointed(row)
-    test = F.expr(f"(shiftright(get(bits, int(pmod(xxhash64(word), {_FILTER * 64}) div 64)), int(pmod(xxhash64(word), {_FILTER * 64}) % 64)) & 1) = 1")
-    return words.crossJoin(F.broadcast(row)).where(test).drop("bits")
+def _filtered(words: DataFrame, keep: DataFrame, count: int) -> DataFrame:
+    """Those of ``words`` that may be among the ``count`` of ``keep``: by a bit map as long as these need, up to a fixed
+    length, so that the join need not shuffle all."""
+    size = min(max(1 << (count * 16 // 64).bit_length(), FILTER[0]), FILTER[1])
+    h = F.pmod(F.xxhash64("word"), F.lit(size * 64))
+    bits = keep.select(F.floor(h / 64).alias("slot"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(word), {size * 64}) % 64))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    # One row a slot that holds a bit: bounded by the filter's length, and met where the words are.
+    test = F.expr(f"(shiftright(bits, int(pmod(xxhash64(word), {size * 64}) % 64)) & 1) = 1")
+    return words.withColumn("slot", F.floor(h / 64)).join(F.broadcast(checkpointed(bits)), "slot").where(test).select(*words.columns)
 
 
 #: A number with a letter in the place of a digit (identity papers have one in front, house numbers one
@@ -221,7 +268,7 @@ ODD_NUMBER = (
 ODD_WORD = r"(?<![\p{L}\p{N}@._-])(?:\p{L}+[01568]\p{Ll}+|\p{Lu}{2,}[01568]\p{Lu}+|[056]\p{Ll}{3,})(?![\p{L}\p{N}]*@)"
 
 
-def defects(texts: DataFrame) -> DataFrame:
+def defects(texts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Defects of ``src, row_key, doc, page, text``: ``src, row_key, line_no BIGINT, defect, word, correction``.
 
     ``doc`` and ``page`` say which document and page a text is (gold texts are documents of their own). Null and blank
@@ -258,9 +305,12 @@ def defects(texts: DataFrame) -> DataFrame:
     # Body lines only: what has no small letter is a title.
     body = lines.where(F.col("line").rlike(r"\p{Ll}"))
     # A short list goes to every task; a longer one is met by a shuffle, of the words that may be in it.
-    hit = tokens(body).join(F.broadcast(wrong), "word") if wrong.count() <= BROADCAST_ROWS else _filtered(tokens(body), wrong).join(wrong, "word")
+    count, found = wrong.count(), tokens(body)
+    hit = found.join(F.broadcast(wrong), "word") if count <= broadcast_rows else _filtered(found, wrong, count).join(wrong, "word")
     words = hit.select(*key, F.lit("misread").alias("defect"), "word", "correction")
-    odd = body.where(F.col("line").rlike(r"[0-9]\p{L}|\p{L}[0-9]") & _no_addresses("line").rlike(f"{ODD_NUMBER}|{ODD_WORD}")).select(*key, F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("correction"))
+    # What the shapes found stands as it must: a letter within a number, a digit within a word.
+    as_must = F.col("line").rlike(r"[0-9]\p{L}|\p{L}[0-9]") & _no_addresses("line").rlike(f"{ODD_NUMBER}|{ODD_WORD}")
+    odd = misshapen(tokens(body.where(as_must)), checkpointed(shapes(vocab))).select(*key, F.lit("misread").alias("defect"), "word", "correction")
     misread = words.union(odd).join(removed.select(*key), key, "left_anti")
     return removed.union(hyphens).union(misread).distinct()
 
@@ -275,24 +325,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects(inputs(spark, sf_dir)).select("src", "row_key", "line_no", "defect").distinct()
 
 
+def _as_written(text: Column, word: Column, correction: Column) -> Column:
+    """The word replaced by its correction in small letters, with a capital, in capitals; in any other case, small."""
+    cap = lambda c: F.concat(F.upper(F.translate(F.left(c, F.lit(1)), "iı", "İI")), F.substr(c, F.lit(2)))
+    up = lambda c: F.upper(F.translate(c, "iı", "İI"))
+    whole = lambda c, how="": F.concat(F.lit(how + r"(?<![\p{L}\p{N}])"), c, F.lit(r"(?![\p{L}\p{N}])"))
+    for form in (lambda c: c, cap, up):
+        text = F.regexp_replace(text, whole(form(word)), form(correction))
+    return F.regexp_replace(text, whole(word, "(?iu)"), correction)
+
+
 def repaired(texts: DataFrame) -> DataFrame:
-    """``src, row_key, repaired``: running headers and page numbers gone, misread words corrected, split words joined,
-    and lines run on into paragraphs; a blank or indented line begins a new one."""
-    d = defects(texts)
-    key = ["src", "row_key", "line_no"]
-    per = d.groupBy(*key).agg(
-        F.bool_or(F.col("defect").isin("header", "page_number")).alias("gone"), F.bool_or(F.col("defect") == "hyphen").alias("split"),
-        F.collect_set(F.when(F.col("correction").isNotNull(), F.struct("word", "correction"))).alias("fixes"),
-    )
-    lines = lines_of(texts.dropDuplicates(["src", "row_key"])).join(per, key, "left")
-    fixed = F.aggregate(
-        F.coalesce("fixes", F.expr("array()").cast("array<struct<word:string,correction:string>>")), F.col("line"),
-        lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), x["word"], F.lit(r"(?![\p{L}\p{N}])")), x["correction"]),
+    """``src, row_key, repaired``: running headers and page numbers gone, misread words corrected as they are written,
+    split words joined, and lines run on into paragraphs; a blank or indented line begins a new one.
+
+    Texts of which nothing is left give no row. Only defects are joined with texts, which are rebuilt in their row."""
+    key, line = ["src", "row_key"], lambda kind: F.collect_set(F.when(kind, F.col("line_no")))
+    per = defects(texts).groupBy(*key).agg(
+        line(F.col("defect").isin("header", "page_number")).alias("gone"), line(F.col("defect") == "hyphen").alias("split"),
+        F.array_sort(F.collect_set(F.when((F.col("defect") == "misread") & F.col("correction").isNotNull() & (F.col("word") != F.col("correction")), F.struct("word", "correction")))).alias("fixes"),
     )
-    opens = (F.trim(F.coalesce("before", F.lit(""))) == "") | F.col("line").rlike(r"^\s{2,}")
-    piece = F.concat(F.when(opens, "\u0001").otherwise(""), F.when(F.col("split"), F.regexp_replace(F.trim(fixed), rf"\s?{_BREAK}\s*$", "")).otherwise(F.concat(F.trim(fixed), F.lit(" "))))
-    kept = lines.where(~F.coalesce("gone", F.lit(False))).groupBy("src", "row_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("p")))), lambda x: x["p"]), "").alias("t"))
-    return kept.select("src", "row_key", F.trim(F.regexp_replace(F.regexp_replace("t", " ?\u0001", "\n\n"), r"^\s+", "")).alias("repaired"))
+    t = texts.where("trim(text) <> ''").select(*key, "text").dropDuplicates(key).join(per, key, "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    t = t.select(*key, F.split(F.regexp_replace("text", "\r", ""), "\n").alias("ls"), none("gone", "array<bigint>"), none("split", "array<bigint>"), none("fixes", "array<struct<word:string,correction:string>>"))
+    piece = F.expr(
+        f"transform(ls, (x, i) -> CASE WHEN trim(x) = '' OR array_contains(gone, i + 1L) THEN '' ELSE concat(IF(i = 0 OR trim(ls[greatest(i - 1, 0)]) = '' OR x RLIKE '^[ \\t]{{2,}}', '\u0001', ''), "
+        f"IF(array_contains(split, i + 1L), regexp_replace(trim(x), '[ ]?{_BREAK}[ ]*$', ''), concat(trim(x), ' '))) END)"
+    )
+    flow = F.regexp_replace(F.regexp_replace(F.array_join(piece, ""), " ?\u0001", "\n\n"), r"^\s+", "")
+    # Corrections come last, when split words are whole.
+    t = t.select(*key, "fixes", F.trim(flow).alias("flow")).where("flow <> ''")
+    return t.select(*key, F.aggregate("fixes", F.col("flow"), lambda s, x: _as_written(s, x["word"], x["correction"])).alias("repaired"))
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def test_truncated(spark):
 def test_word_filter_keeps_all_that_may_match(spark):
     words = spark.createDataFrame([(i, f"w{i}") for i in range(3000)], "k long, word string")
     keep = words.where("k % 7 = 0").select("word", F.lit("x").alias("correction"))
-    got = scans._filtered(words, keep)
+    got = scans._filtered(words, keep, keep.count())
     assert got.columns == ["k", "word"]
     assert got.join(keep, "word").count() == keep.count() and got.count() < 500
 
@@ -186,3 +186,32 @@ def test_rows_delivered_twice_count_once(spark):
     rows += [("ocr_pages", "x", "dx", 1, "Tanıkların beyanları dinlcnmiştir.")] * 2
     df = spark.createDataFrame(rows, "src string, row_key string, doc string, page long, text string")
     assert [(r["row_key"], r["word"], r["correction"]) for r in scans.defects(df).collect() if r["word"] == "dinlcnmiştir"] == [("x", "dinlcnmiştir", "dinlenmiştir")]
+
+
+def test_both_ways_of_meeting_misread_words_agree(spark):
+    page = "Mahkemece verilen korar ile taraflara tebliğ edilmiştir. Tutar 2O5 liradır, say1n tarafa."
+    df = scanned(spark, [page, page.replace("korar", "toroflara")])
+    rows = [sorted(map(tuple, scans.defects(df, n).select("row_key", "line_no", "defect", "word", "correction").collect()), key=repr) for n in (1000, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) >= 4
+
+
+def test_shapes_of_misread_numbers_and_words(spark):
+    words = {"2024": 900, "118": 600, "20": 500, "2o24": 2, "2o2o": 1, "l18": 1, "say1n": 1, "sayın": 300, "kerem": 300, "k3rem": 40, "12b": 4000, "x9": 1, "u123": 1}
+    v = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {(r["shape"], r["number"]) for r in scans.shapes(v).collect()}
+    assert {("9o99", True), ("9o9o", True), ("l99", True), ("aaa9a", False)} <= got
+    assert not {("99b", True), ("x9", True), ("a999", True)} & got
+    found = scans.misshapen(v.select("word"), scans.shapes(v)).where("correction is not null").collect()
+    assert {("2o24", "2024"), ("2o2o", "2020"), ("l18", "118")} <= {tuple(r) for r in found}
+
+
+def test_repair_keeps_the_case_and_joins_misread_words(spark):
+    page = "Korar verildi. KORAR ve korar. Tutar 2O5 liradır, ko-\nrar edildi."
+    got = {r["row_key"]: r["repaired"] for r in scans.repaired(scanned(spark, [page, "Karar 205 305 405 505 605", *["karar 205 306"] * 40])).collect()}
+    assert got["1"] == "Karar verildi. KARAR ve karar. Tutar 205 liradır, karar edildi."
+
+
+def test_long_words_are_corrected_too(spark):
+    long_ = "gerekçelendirilemeyenlerden" * 2
+    v = spark.createDataFrame([(long_, 60), (long_.replace("n", "ri", 1), 1)], "word string, n long")
+    assert [r["correction"] for r in scans.misreadings(spark, v).collect()] == [long_]
