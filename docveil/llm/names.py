@@ -1,9 +1,10 @@
 """Variant spellings of names typed by people (problem 2).
 
-Surnames and brands are sharded into tries; Levenshtein automata walk them and list the neighbours within one edit (a
-swap of neighbours counts as one). Names whose surnames are neighbours are then compared part by part in either token
-order: given name, middle name, line of business. Full names are nodes, joined into components; initials and bare brands
-are too weak to join others and are attached last, where just one component fits.
+Surnames, brands and given names are sharded into tries; Levenshtein automata walk them and list the neighbours within
+one edit (a swap of neighbours counts as one). Names whose surnames are neighbours, in the order of tokens the corpus
+suggests or turned round, are then compared part by part: given name, middle name, line of business. Full names are nodes,
+joined into components; initials and bare brands are too weak to join others and are attached last, where just one
+component fits.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docveil.llm import mojibake
@@ -24,12 +24,12 @@ from docveil.llm.lookalikes import mapping
 from docveil.operators.lineage import checkpointed
 from docveil.sources.tables import table
 
-#: Surnames and brands (with the letter of their kind) shorter than this may differ by one edit if one is much rarer;
-#: longer ones may anyway.
-FUZZY_FROM = 6
-#: Letters at either end by which tries are sharded; two words within one edit share one of the ends, or, twice as long
-#: and with the two middle letters swapped, what stands around these.
-END = 3
+#: Surnames and brands of fewer letters may differ by one edit only if one is much rarer; longer ones may anyway.
+FUZZY_FROM = 5
+#: Letters of the shortest word that gets neighbours at all: of a surname or brand, of a given name.
+SHORTEST, SHORTEST_GIVEN = 2, 3
+#: Index words, and words asked for, in one trie's walk, at most; a shard that holds more is split.
+SHARD = 20_000
 #: A given name or a short surname differing by one edit from another is its misspelling when it is this much rarer.
 RARER = 0.05
 
@@ -180,44 +180,65 @@ class Trie:
                     todo.append((child, none2, one2, none & (m >> 1)))
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    trie = Trie(pdf.loc[pdf["indexed"], "word"].tolist())
-    out = [(q, w) for q in pdf.loc[~pdf["indexed"], "word"] for w in trie.neighbours(q)]
-    return pd.DataFrame(out, columns=["q", "c"])
-
-
-def trie_join(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """``q, c``: each query word (column ``word``) with the index words within one edit; short words only if equal.
-
-    A shard is the first or last END letters and the length; an index word is in two shards, a query looks in the three
-    lengths it may have. Words of 2 * END letters are also in the shard of all but their middle two. Words are distinct, so a name borne by a third of all rows is one word.
-    """
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by shard, its index words first: one trie is alive at a time."""
+    shard, words, trie = None, [], None
+    for batch in batches:
+        out = []
+        for key, asked, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != shard:
+                shard, words, trie = key, [], None
+            if not asked:
+                words.append(word)
+            elif words:
+                # A few words are looked at one by one.
+                if trie is None and len(words) > 4:
+                    trie = Trie(words)
+                out += [(word, w) for w in (trie.neighbours(word) if trie else (w for w in words if near(word, w)))]
+        cols = list(zip(*out, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["q", "c"])
+
+
+def _halves(size: Column) -> list[Column]:
+    """Keys of ``word`` as one of an index word of ``size`` letters: its first half, its second half."""
+    first = F.floor(size / 2).cast("int")
+    mark = size.cast("string")
+    return [F.concat(F.lit("^"), mark, F.lit(" "), F.left("word", first)), F.concat(F.lit("$"), mark, F.lit(" "), F.right("word", size - first))]
+
+
+def _around() -> Column:
+    """The key of a word without the two letters about its middle, which a swap of these leaves."""
+    first = F.floor(F.length("word") / 2).cast("int")
+    return F.concat(F.lit("~"), F.length("word").cast("string"), F.lit(" "), F.left("word", first - 1), F.substr("word", first + 2))
+
+
+def trie_join(queries: DataFrame, index: DataFrame, shortest: int = SHORTEST + 1, shard: int = SHARD) -> DataFrame:
+    """``q, c``: each query word (column ``word``) with the index words within one edit; of fewer than ``shortest``
+    letters only if equal.
+
+    One edit leaves one half of a word as it is, or is a swap of the two letters about its middle; so an index word is
+    in the shards of its halves and of what surrounds its middle, and a query looks in those it may share with words one
+    letter shorter, as long, and one longer. A shard of more than ``shard`` words is split, so a common ending is many
+    tasks' work. Words are distinct, so a name borne by a third of all rows is one word."""
     q, c = queries.select("word").distinct(), index.select("word").distinct()
     equal = q.join(c, "word").select(F.col("word").alias("q"), F.col("word").alias("c"))
-    long_ = F.length("word") >= FUZZY_FROM
-    ends = lambda n: F.array(F.concat(F.lit("^"), F.left("word", F.lit(END)), n), F.concat(F.lit("$"), F.right("word", F.lit(END)), n))
     size = F.length("word")
-    around = F.when(size == 2 * END, F.array(F.concat(F.lit("~"), F.left("word", F.lit(END - 1)), F.right("word", F.lit(END - 1))))).otherwise(F.array().cast("array<string>"))
-    indexed = c.where(long_).select("word", F.lit(True).alias("indexed"), F.explode(F.concat(ends(size.cast("string")), around)).alias("shard"))
-    asked = q.where(F.length("word") >= FUZZY_FROM - 1).select("word", F.lit(False).alias("indexed"), F.explode(F.flatten(F.array(*(ends((size + d).cast("string")) for d in (-1, 0, 1)), around))).alias("shard"))
+    indexed = c.where(size >= shortest).select("word", F.explode(F.array(*_halves(size), _around())).alias("shard"))
+    other = [k for d in (-1, 0, 1) for k in _halves(size + d)]
+    asked = q.where(size >= shortest - 1).select("word", F.explode(F.array_distinct(F.array(*other, _around()))).alias("shard"))
+    held = indexed.groupBy("shard").agg(F.ceil(F.count("*") / shard).alias("parts"))
     # Shards without index words are no work.
-    asked = asked.join(indexed.select("shard").distinct(), "shard", "left_semi").select("word", "indexed", "shard")
-    found = indexed.unionByName(asked).groupBy("shard").applyInPandas(_walk, "q string, c string")
-    return equal.union(found).where(F.abs(F.length("q") - F.length("c")) <= 1).distinct()
-
-
-def short_join(words: DataFrame, index: DataFrame) -> DataFrame:
-    """``q, c``: words (``word, n``; the kind is the first letter) with the short index words (``word``) within one edit,
-    of which one is much rarer than the other. Single letters are initials and have none.
-
-    Words within one edit are equal when each leaves out one letter at most."""
-    letters = F.sequence(F.lit(2), F.length("word"))
-    keys = F.array_distinct(F.concat(F.array("word"), F.transform(letters, lambda i: F.concat(F.left("word", i - 1), F.substr("word", i + 1)))))
-    short = words.where(F.length("word").between(3, FUZZY_FROM)).select("word", "n", F.explode(keys).alias("key"))
-    c = short.where(F.length("word") < FUZZY_FROM).join(index.select("word").distinct(), "word", "left_semi").toDF("c", "m", "key")
-    swap = F.expr("length(q) = length(c) AND exists(sequence(2, length(q)), i -> concat(left(q, i - 1), substr(q, i + 1, 1), substr(q, i, 1), substr(q, i + 2)) = c)")
-    pairs = short.toDF("q", "n", "key").join(c, "key").where(F.least("n", "m") <= RARER * F.greatest("n", "m"))
-    return pairs.where((F.levenshtein("q", "c") == 1) | swap).select("q", "c").distinct()
+    asked = asked.join(held, "shard")
+    wide = asked.groupBy("shard").agg(F.ceil(F.count("*") / shard).alias("slices"))
+    indexed = indexed.join(held, "shard").join(wide, "shard")
+    asked = asked.join(wide, "shard")
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("word"), F.col(n))
+    key = lambda a, b: F.concat_ws("/", "shard", a.cast("string"), b.cast("string")).alias("key")
+    left = indexed.withColumn("slice", F.explode(spread("slices"))).select(key(own("parts"), F.col("slice")), F.lit(False).alias("asked"), "word")
+    right = asked.withColumn("part", F.explode(spread("parts"))).select(key(F.col("part"), own("slices")), F.lit(True).alias("asked"), "word")
+    found = left.unionByName(right).repartition("key").sortWithinPartitions("key", "asked").mapInArrow(_walk, "q string, c string")
+    return equal.union(found).distinct()
 
 
 # --- records and names -------------------------------------------------------------------------------------------
@@ -267,48 +288,65 @@ def nodes_of(names: DataFrame) -> DataFrame:
         .join(at("z").toDF("z", "z_first", "z_last", "z_before"), "z")
         .select("parts", ((F.col("a_last") >= F.col("a_first")) & (F.col("z_before") > F.col("z_last")) | (F.length("z") == 1)).alias("turned"))
     )
-    p = people.join(order, "parts").select("rec", "client", "kind", F.when(F.col("turned"), F.concat(F.slice("parts", 2, 9), F.slice("parts", 1, 1))).otherwise(F.col("parts")).alias("t"))
-    p = p.select("rec", "client", "kind", F.split(F.element_at("t", -1), "-")[0].alias("word"), F.col("t")[0].alias("given"), F.when(F.size("t") > 2, F.col("t")[1]).otherwise("").alias("middle"))
+    p = people.join(order, "parts").select("rec", "client", "kind", F.when(F.col("turned"), _turned("parts")).otherwise(F.col("parts")).alias("t"))
+    p = p.select("rec", "client", "kind", *_named("t"), F.struct(*_named(_turned("t"))).alias("turn"))
+    p = p.withColumn("given", _full("given")).withColumn("turn", F.col("turn").withField("given", _full("turn.given"))).withColumn("weak", F.length("given") == 1)
+    c = names.where("kind = 'C'").select("rec", "client", "kind", F.col("brand").alias("word"), F.col("business").alias("given"), F.lit("").alias("middle"), (F.col("business") == "").alias("weak"), F.lit(None).cast("struct<word:string,given:string,middle:string>").alias("turn"))
+    return p.select(*c.columns).unionByName(c).withColumn("node", F.xxhash64("kind", "word", "given", "middle"))
+
+
+def _turned(parts: str | Column) -> Column:
+    """The first part put last."""
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    return F.concat(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1))
+
+
+def _named(parts: str | Column) -> tuple[Column, Column, Column]:
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    return F.split(F.element_at(parts, -1), "-")[0].alias("word"), parts[0].alias("given"), F.when(F.size(parts) > 2, parts[1]).otherwise("").alias("middle")
+
+
+def _full(given: str) -> Column:
+    """A known short form spelt out."""
     short = F.map_from_entries(F.from_json(F.lit(json.dumps([{"k": k, "v": v} for k, v in SHORT.items()])), "array<struct<k:string,v:string>>"))
-    p = p.withColumn("given", F.coalesce(F.try_element_at(short, F.col("given")), F.col("given"))).withColumn("weak", F.length("given") == 1)
-    c = names.where("kind = 'C'").select("rec", "client", "kind", F.col("brand").alias("word"), F.col("business").alias("given"), F.lit("").alias("middle"), (F.col("business") == "").alias("weak"))
-    return p.unionByName(c).withColumn("node", F.xxhash64("kind", "word", "given", "middle"))
+    return F.coalesce(F.try_element_at(short, F.col(given)), F.col(given))
 
 
-def _given_keys(given: str, start: str, end: str):
-    """Keys under which given names within one edit meet: the name itself and with each letter left out; and, marked
-    apart, the stem of a short form in -o, -os, -is or -i and the beginnings such a stem may be. The two sides of the
-    join mark them the other way round, so that stems meet beginnings only."""
-    g = F.col(given)
-    out = F.transform(F.sequence(F.lit(1), F.length(g)), lambda i: F.concat(F.substr(g, F.lit(1), i - 1), F.substr(g, i + 1)))
-    swaps = F.transform(F.sequence(F.lit(1), F.length(g) - 1), lambda i: F.concat(F.substr(g, F.lit(1), i - 1), F.substr(g, i + 1, F.lit(1)), F.substr(g, i, F.lit(1)), F.substr(g, i + 2)))
-    stem = F.regexp_replace(g, "(?:os|is|o|i)$", "")
-    starts = F.transform(F.sequence(F.lit(2), F.least(F.lit(5), F.length(g))), lambda i: F.concat(F.lit(start), F.substr(g, F.lit(1), i)))
-    hypocoristic = F.when((F.length(g) <= 6) & (F.length(stem) >= 2) & (F.length(stem) < F.length(g)), F.array(F.concat(F.lit(end), stem))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(g), F.when(F.length(g) >= 4, F.concat(out, swaps)).otherwise(F.array().cast("array<string>")), starts, hypocoristic))
+def given_pairs(given: DataFrame) -> DataFrame:
+    """``ga, gb``: given names (``given, n``) that may be one: equal, within one edit by the tries if one is much rarer,
+    or a rarer short form in -o, -os, -is or -i and a longer name that begins with its stem."""
+    near_ = trie_join(given.select(F.col("given").alias("word")), given.select(F.col("given").alias("word")), SHORTEST_GIVEN).where("length(q) + length(c) >= 7").toDF("ga", "gb")
+    stems = given.where(F.col("given").rlike("^.{2,4}(?:os|is|o|i)$") & (F.length("given") <= 6)).select(F.col("given").alias("ga"), F.regexp_replace("given", "(?:os|is|o|i)$", "").alias("stem"))
+    starts = given.where(F.length("given") > 3).select(F.col("given").alias("gb"), F.explode(F.expr("transform(sequence(2, least(5, length(given))), i -> left(given, i))")).alias("stem"))
+    short = stems.join(starts, "stem").select("ga", "gb", F.lit(True).alias("short"))
+    both = near_.withColumn("short", F.lit(False)).unionByName(short).where("ga <> gb").join(given.toDF("ga", "na"), "ga").join(given.toDF("gb", "nb"), "gb")
+    rare = F.least("na", "nb") <= F.lit(RARER) * F.greatest("na", "nb") + 1
+    both = both.where(rare & (~F.col("short") | (F.col("na") <= F.col("nb")))).select("ga", "gb")
+    same = given.select(F.col("given").alias("ga"), F.col("given").alias("gb"))
+    return same.union(both).union(both.select("gb", "ga")).distinct()
 
 
 def links(nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """``a, b``: nodes that name the same entity, ``b`` being a client's. Weak nodes have no links here."""
-    strong = nodes.where(~F.col("weak")).groupBy("node", "kind", "word", "given", "middle").agg(F.max("client").alias("client"), F.count("*").alias("n"))
-    known = nodes.where("kind = 'P'").groupBy("given").agg(F.count("*").alias("g_n"))
-    strong = strong.join(known, "given", "left").withColumn("g_n", F.coalesce("g_n", F.lit(1)))
-    keyed = lambda *marks: strong.withColumn("keys", F.when(F.col("kind") == "C", F.array("given")).otherwise(_given_keys("given", *marks)))
+    """``a, b``: nodes that name the same entity, ``b`` being a client's. Weak nodes have no links here. A person's parts
+    are compared in the order they have as a node, and turned."""
+    strong = nodes.where(~F.col("weak")).groupBy("node", "kind", "word", "given", "middle").agg(F.max("client").alias("client"), F.first("turn").alias("turn"))
     m = neighbours.select("q", "c")
     kw = F.concat("kind", "word")
-    left = keyed("<", ">").withColumn("q", kw).join(m, "q").select(F.col("node").alias("a"), "kind", "c", F.explode("keys").alias("key"), F.col("given").alias("ga"), F.col("middle").alias("ma"), F.col("g_n").alias("na"))
-    right = keyed(">", "<").where("client").select(F.col("node").alias("b"), kw.alias("c"), F.explode("keys").alias("key"), F.col("given").alias("gb"), F.col("middle").alias("mb"), F.col("g_n").alias("nb"))
-    pairs = left.join(right, ["c", "key"]).where("a <> b").dropDuplicates(["a", "b"])
-    lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
-    rare = lo <= F.lit(RARER) * hi + 1
-    long_ = F.least(F.length("ga"), F.length("gb")) >= 3
-    swapped = (F.length("ga") == F.length("gb")) & (F.levenshtein("ga", "gb") == 2) & (F.array_sort(F.split("ga", "")) == F.array_sort(F.split("gb", "")))
-    stem = lambda s, w: F.col(w).startswith(F.regexp_replace(F.col(s), "(?:os|is|o|i)$", "")) & F.col(s).rlike("^.{2,4}(?:os|is|o|i)$") & (F.length(s) <= 6) & (F.length(w) > 3)
-    rare_stem = (stem("ga", "gb") & (F.col("na") <= F.col("nb"))) | (stem("gb", "ga") & (F.col("nb") <= F.col("na")))
-    given = (F.col("ga") == F.col("gb")) | (rare & ((long_ & (F.length("ga") + F.length("gb") >= 7) & ((F.levenshtein("ga", "gb") <= 1) | swapped)) | rare_stem))
+    firms = strong.where("kind = 'C'")
+    left = firms.select(F.col("node").alias("a"), kw.alias("q"), "given").join(m, "q").select("a", "c", "given")
+    same = left.join(firms.where("client").select(F.col("node").alias("b"), kw.alias("c"), "given"), ["c", "given"]).where("a <> b").select("a", "b")
+    people = strong.where("kind = 'P'")
+    asked = people.select(F.col("node").alias("a"), kw.alias("q"), F.col("given").alias("ga"), F.col("middle").alias("ma"))
+    turned = people.where(F.length("turn.given") > 1).select(F.col("node").alias("a"), F.concat(F.lit("P"), "turn.word").alias("q"), F.col("turn.given").alias("ga"), F.col("turn.middle").alias("ma"))
+    known = nodes.where("kind = 'P'").groupBy("given").agg(F.count("*").alias("n"))
+    asked = checkpointed(asked.union(turned).join(m, "q").select("a", "c", "ga", "ma"))
+    # Given names that stand last in a name are asked for as such, too.
+    known = known.union(asked.select("ga").distinct().join(known, F.col("ga") == F.col("given"), "left_anti").select("ga", F.lit(1)))
+    b = people.where("client").select(F.col("node").alias("b"), kw.alias("c"), F.col("given").alias("gb"), F.col("middle").alias("mb"))
+    pairs = asked.join(checkpointed(given_pairs(known)), "ga").join(b, ["c", "gb"]).where("a <> b")
     first = lambda c: F.left(c, F.lit(1))
     middle = (F.col("ma") == "") | (F.col("mb") == "") | (((F.length("ma") == 1) | (F.length("mb") == 1)) & (first("ma") == first("mb"))) | (F.levenshtein("ma", "mb") <= 1) | ((F.levenshtein("ma", "mb") == 2) & (F.length("ma") == F.length("mb")) & (F.length("ma") > 3) & (F.array_sort(F.split("ma", "")) == F.array_sort(F.split("mb", ""))))
-    return pairs.where(F.when(F.col("kind") == "C", F.col("ga") == F.col("gb")).otherwise(given & middle)).select("a", "b")
+    return same.union(pairs.where(middle).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -332,9 +370,14 @@ def linked(clients: DataFrame, findings: DataFrame) -> DataFrame:
     kw = F.concat("kind", "word")
     index = nodes.where("client").select(kw.alias("word"))
     # Kind is the first letter of the words joined: a person's surname and a brand never meet.
-    same_kind = trie_join(nodes.select(kw.alias("word")), index).where(F.left("q", F.lit(1)) == F.left("c", F.lit(1)))
-    near_ = checkpointed(same_kind.union(short_join(nodes.groupBy(kw.alias("word")).agg(F.count("*").alias("n")), index)))
-    reach = nodes.join(near_.select(F.col("q")).distinct(), kw == F.col("q"), "left_semi")
+    counted = nodes.groupBy(kw.alias("word")).agg(F.count("*").alias("n"))
+    turned = nodes.where("kind = 'P'").select(F.concat(F.lit("P"), "turn.word").alias("word"))
+    near_ = trie_join(counted.select("word").union(turned), index).where(F.left("q", F.lit(1)) == F.left("c", F.lit(1)))
+    # Short words within one edit are mostly different ones, unless one is much rarer.
+    near_ = near_.join(counted.toDF("q", "n"), "q", "left").join(counted.toDF("c", "m"), "c").withColumn("n", F.coalesce("n", F.lit(1)))
+    near_ = checkpointed(near_.where((F.col("q") == F.col("c")) | (F.length("c") > FUZZY_FROM) & (F.length("q") >= FUZZY_FROM) | (F.least("n", "m") <= RARER * F.greatest("n", "m"))).select("q", "c"))
+    asked = near_.select("q").distinct()
+    reach = checkpointed(nodes.join(asked, kw == F.col("q"), "left_semi").unionByName(nodes.join(asked, kw == F.col("q"), "left_anti").join(asked, F.concat("kind", "turn.word") == F.col("q"), "left_semi")))
     strong = reach.where(~F.col("weak"))
     of_record = strong.where("client").withColumn("b", F.min("node").over(Window.partitionBy("rec"))).where("node <> b").select(F.col("node").alias("a"), "b")
     labels = checkpointed(components(links(reach, near_).union(of_record), strong))

@@ -27,8 +27,10 @@ def test_trie_join_equals_brute_force(spark):
     asked = sorted({typo(w) for w in words for _ in range(3)} | set(words))
     df = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
     got = {(r["q"], r["c"]) for r in names.trie_join(df(asked), df(words)).collect()}
-    want = {(q, c) for q in asked for c in words if q == c or (len(c) >= names.FUZZY_FROM and len(q) >= names.FUZZY_FROM - 1 and names.near(q, c))}
+    want = {(q, c) for q in asked for c in words if q == c or (len(c) > names.SHORTEST and len(q) >= names.SHORTEST and names.near(q, c))}
     assert got == want
+    # However finely shards are split.
+    assert {(r["q"], r["c"]) for r in names.trie_join(df(asked), df(words), shard=3).collect()} == want
 
 
 CLIENTS = [
@@ -101,12 +103,21 @@ def test_trie_join_meets_words_swapped_anywhere(spark):
     assert got == {(q, c) for q in asked for c in words if names.near(q, c)}
 
 
-def test_short_join_equals_brute_force(spark):
-    rng = random.Random(3)
-    n = {k + "".join(rng.choice("abc") for _ in range(rng.randint(1, 5))): rng.choice([1, 2, 30, 60, 900]) for k in "PC" for _ in range(120)}
-    got = {(r["q"], r["c"]) for r in names.short_join(spark.createDataFrame(list(n.items()), "word string, n long"), spark.createDataFrame([(w,) for w in n], "word string")).collect()}
-    rarer = lambda q, c: min(n[q], n[c]) <= names.RARER * max(n[q], n[c])
-    assert got == {(q, c) for q in n for c in n if q != c and q[0] == c[0] and len(c) < names.FUZZY_FROM and min(len(q), len(c)) > 2 and names.near(q, c) and rarer(q, c)}
+def test_common_ends_are_split(spark):
+    """A third of all words with one ending: no walk gets more than its share."""
+    words = [f"P{a}{b}oğlu" for a in "abcdefghij" for b in "klmnoprstu"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r["q"], r["c"]) for r in names.trie_join(df, df, shard=7).collect()}
+    assert got == {(q, c) for q in words for c in words if names.near(q, c)}
+
+
+def test_given_names_and_either_order(spark):
+    n = {"mehmet": 400, "mehmte": 2, "ayse": 300, "ayze": 1, "ali": 200, "veli": 190, "sukru": 90, "suko": 2, "can": 50}
+    got = {(r["ga"], r["gb"]) for r in names.given_pairs(spark.createDataFrame(list(n.items()), "given string, n long")).collect() if r["ga"] < r["gb"]}
+    assert got == {("mehmet", "mehmte"), ("ayse", "ayze"), ("suko", "sukru")}
+    c = [(1, "Rukiye Tozkoparan", None), (2, "Tozkoparan Rukiye", None), (3, "Rukiye Su Bahçıvanlar", None), (4, "Bahçıvanlar Rukiye Su", None), (5, "A B C D E F G H I J Kestanecioğlu", None), (6, "A B C D E F G H I J Kestanecioglu", None)]
+    e = {r["rec"]: r["entity"] for r in names.linked(spark.createDataFrame(c, "id long, name string, aliases string"), spark.createDataFrame([], "id long, sample string, category string")).collect()}
+    assert e[1] == e[2] != e[3] == e[4] and len({e[1], e[3]}) == 2
 
 
 def test_short_surnames_are_linked(spark):
