@@ -20,8 +20,15 @@ FREQUENT, FREQUENT_STOP = 12, 150
 TERMINAL, TERMINAL_STOP = 0.02, 0.002
 #: Fixed value: what ends a sentence.
 STOP = r"[.!?][\"'”»)\]]*$"
+#: Next to nothing: an end unseen inside texts, or rarely seen for chance, is one seen at most at this share of what
+#: stands in its place. As a share it means the same at every size of the corpus.
+UNSEEN = 0.001
 #: Longer words seen in the place of a last word that is their beginning must occur this often.
 CONTINUED = 3
+#: Classes of words; what is keyed by them alone is a large share of all texts, and spread over so many keys.
+CLASSES, SPREAD = ("", "N", "9", "E"), 64
+#: Ends of at least one in so many texts are common: so many of them there are at most.
+COMMON = 1000
 #: Marks put where something was left out; the last is left by a cut within a character's bytes.
 OMISSION = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.|…|�)\s*$"
 #: Capitalised words within a sentence: names, mostly. One that ends in a point stays as it is. The pattern begins with
@@ -71,10 +78,21 @@ def _goes_on(word: Column, prefix: Column) -> Column:
 def _beginnings(df: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, z, longer``: how often words that go on after ``z`` stand in its place. Words are exploded to their
     beginnings, so that last words are met by equality."""
-    cut = df.where(F.length("c") <= 64).select(*keys, "c", "n", F.explode(F.expr("transform(sequence(1, length(c)), i -> left(c, i))")).alias("z"))
+    cut = df.select(*keys, "c", "n", F.explode(F.expr("transform(sequence(1, length(c)), i -> left(c, i))")).alias("z"))
     return cut.where(_goes_on(F.col("c"), F.col("z"))).groupBy(*keys, "z").agg(F.sum("n").alias("longer"))
 
 
+def _looked_up(ends: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``ends`` with the ``counts`` of their keys. Keys of classes alone are few and common: their counts are copied to
+    ``SPREAD`` keys, and the ends spread over these."""
+    hot = F.lit(True)
+    for k in keys:
+        hot = hot & F.col(k).isin(*CLASSES)
+    left = ends.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*ends.columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
+    right = counts.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def truncated(docs: DataFrame) -> DataFrame:
     """Texts of ``doc_id, source, text`` that were cut off before their end.
 
@@ -105,27 +123,44 @@ def truncated(docs: DataFrame) -> DataFrame:
     longer1 = _beginnings(vocabulary, []).join(last.select("z").distinct(), "z", "left_semi").select("z", F.col("longer").alias("longer1"))
 
     rare = lambda t, inside, share: F.col(t) - 1 <= share * F.col(inside)
-    stop, plain, few = F.col("z").rlike(STOP), ~F.col("z").isin("N", "9", "E"), F.col("terminal") <= 2
+    unseen = lambda n, instead: F.col(n) <= UNSEEN * F.col(instead)
+    stop, plain = F.col("z").rlike(STOP), ~F.col("z").isin("N", "9", "E")
+    few = lambda instead: F.col("terminal") <= F.greatest(F.lit(2), UNSEEN * F.col(instead))
+    letter = F.col("z").rlike(r"[\p{L}\p{N}]")
     sentence = (
         ((F.col("inside3") >= FREQUENT) & ~stop & rare("terminal", "inside3", TERMINAL))
         | ((F.col("inside3") >= FREQUENT_STOP) & stop & rare("terminal", "inside3", TERMINAL_STOP))
-        # Too rare a trigram: judged by the last word itself,
-        | ((F.col("inside3") < FREQUENT) & few & ~stop & plain & (F.col("inside1") >= 4 * FREQUENT) & rare("terminal1", "inside1", TERMINAL))
+        # Too rare a trigram, and no end that recurs: judged by the last word itself,
+        | ((F.col("inside3") < FREQUENT) & (F.col("terminal") <= 2) & ~stop & plain & (F.col("inside1") >= 4 * FREQUENT) & rare("terminal1", "inside1", TERMINAL))
         # by the two words before it, after which it never stands and texts do not end,
-        | ((F.col("inside3") <= 0) & few & ~stop & (F.col("inside_ab") >= 2 * FREQUENT) & (F.col("terminal_ab") <= TERMINAL * F.col("inside_ab")) & F.col("z").rlike(r"[\p{L}\p{N}]"))
+        | (unseen("inside3", "inside_ab") & few("inside_ab") & ~stop & (F.col("inside_ab") >= 2 * FREQUENT) & (F.col("terminal_ab") <= TERMINAL * F.col("inside_ab")) & letter)
         # or by the one before it.
-        | ((F.col("inside3") <= 0) & (F.col("inside_bz") <= 0) & few & ~stop & ~F.col("b").isin("", "N", "9") & (F.col("inside_b") >= 8 * FREQUENT) & (F.col("terminal_b") <= TERMINAL * F.col("inside_b")) & F.col("z").rlike(r"[\p{L}\p{N}]"))
+        | (unseen("inside3", "inside_b") & unseen("inside_bz", "inside_b") & few("inside_b") & ~stop & ~F.col("b").isin("", "N", "9") & (F.col("inside_b") >= 8 * FREQUENT) & (F.col("terminal_b") <= TERMINAL * F.col("inside_b")) & letter)
     )
     word = ~stop & (
         ((F.col("longer3") >= CONTINUED) & (F.col("longer3") > 4 * F.col("inside3")) & (F.col("terminal") <= 0.1 * F.col("longer3") + 1))
-        | (plain & (F.col("inside3") <= 0) & few & (F.col("longer1") >= 4 * CONTINUED) & (F.col("longer1") > 20 * F.col("inside1")))
+        | (plain & unseen("inside3", "longer1") & few("longer1") & (F.col("longer1") >= 4 * CONTINUED) & (F.col("longer1") > 20 * F.col("inside1")))
     )
-    proper = ~stop & (((F.col("texts") > 2) & (F.col("inside3") <= 0)) | ((F.col("texts1") > 2) & (F.col("inside1") <= 0)))
+    proper = ~stop & (((F.col("texts") > 2) & (F.col("inside3") <= TERMINAL * F.col("texts"))) | ((F.col("texts1") > 2) & (F.col("inside1") <= TERMINAL * F.col("texts1"))))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    judged = last.join(three, ["a", "b", "z"]).join(two, ["a", "b"]).join(after, ["b", "z"]).join(before, "b").join(one, "z").join(longer3, ["a", "b", "raw"], "left").join(longer1, "z", "left")
+    # Ends are judged once each, however many texts have them.
+    keys = ["a", "b", "z", "raw"]
+    own = last.select(*keys).distinct()
+    judged = _looked_up(_looked_up(own, three, ["a", "b", "z"]), two, ["a", "b"])
+    judged = _looked_up(_looked_up(_looked_up(judged, after, ["b", "z"]), before, ["b"]), one, ["z"])
+    judged = judged.join(longer3, ["a", "b", "raw"], "left").join(longer1, "z", "left")
     judged = judged.withColumns({"longer3": F.coalesce("longer3", F.lit(0)), "longer1": F.coalesce("longer1", F.lit(0))})
-    kind = F.when(F.col("bytes"), "omission").when(F.col("omitted") & ~yes(proper) & (yes(word) | yes(sentence) | ~stop), "omission").when(yes(word), "word").when(yes(sentence), "sentence")
-    return judged.withColumn("kind", kind).where("kind is not null").select("doc_id", "source", "kind").dropDuplicates(["doc_id"])
+    judged = judged.select(*keys, "texts", yes(word).alias("word"), yes(sentence).alias("sentence"), yes(proper).alias("proper"), F.coalesce(stop, F.lit(False)).alias("stop"))
+    omission = F.col("omitted") & ~F.col("proper") & (F.col("word") | F.col("sentence") | ~F.col("stop"))
+    kind = F.when(F.col("bytes"), "omission").when(omission, "omission").when(F.col("word"), "word").when(F.col("sentence"), "sentence")
+    # Ends of many texts are few and go to where the texts are; only texts with other ends are shuffled.
+    judged = checkpointed(judged)
+    texts = last.count()
+    common = judged.where(F.col("texts") >= F.greatest(F.lit(2), F.lit(texts / COMMON))).drop("texts")
+    here = last.join(F.broadcast(common), keys, "left")
+    there = here.where("word is null").select(*last.columns).join(judged.drop("texts"), keys)
+    cols = ["doc_id", "source", kind.alias("kind")]
+    return here.where("word is not null").select(*cols).union(there.select(*cols)).where("kind is not null").dropDuplicates(["doc_id"])
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
