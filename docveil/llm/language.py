@@ -33,6 +33,10 @@ LENGTH, EMBED, WIDTHS, FILTERS = 64, 8, (3, 4, 5), 24
 SWITCH = 2.5
 #: Words a sentence needs at least.
 WORDS = 4
+#: A text's language is told where its mean probability reaches this; below it, it is unknown.
+TOLD = 0.6
+#: Temperatures tried: a network is surer of itself than it is right, by how much is told by sentences held out.
+TEMPERATURES = (1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
 
 #: Abbreviations whose point ends no sentence.
 ABBREVIATIONS = frozenset(
@@ -120,6 +124,21 @@ class ByteNetwork:
             self.p[f"b{w}"] = np.zeros(FILTERS, np.float32)
         self.p["out"] = rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(LANGUAGES))).astype(np.float32)
         self.p["bias"] = np.zeros(len(LANGUAGES), np.float32)
+        self.temperature = 1.0
+
+    def calibrate(self, texts: list[str], y: np.ndarray) -> None:
+        """The temperature at which held-out sentences are most probable; it divides what confidences are made of."""
+        lp = sentence_scores(self, texts)
+
+        def loss(t: float) -> float:
+            z = lp / t
+            return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean())
+
+        self.temperature = min(TEMPERATURES, key=loss)
+
+    def confidence(self, lp: np.ndarray) -> np.ndarray:
+        p = np.exp(lp / self.temperature)
+        return p / p.sum(1, keepdims=True)
 
     def _columns(self, e: np.ndarray, w: int) -> np.ndarray:
         n = e.shape[0]
@@ -225,8 +244,11 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
         size = max(map(len, rows))
         return np.concatenate([r if len(r) == size else rng.choice(r, min(size, 6 * len(r))) for r in rows if len(r)])
 
+    # Every tenth sentence is held out; the temperature is fitted to these.
+    held = np.arange(len(texts)) % 10 == 9
+
     for last in (False, True):
-        net, at = ByteNetwork(seed), balanced(y)
+        net, at = ByteNetwork(seed), balanced(np.where(held, -1, y))
         # Few distinct sentences are gone over more often.
         passes = max(EPOCHS, -(-TRAINED_WINDOWS // len(at)))
         net.train(x[at], y[owner][at], passes if last else max(1, passes // 3))
@@ -234,6 +256,8 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> ByteNetwork:
             p = np.exp(sentence_scores(net, texts))
             sure = p.max(1) > 0.9
             y = np.where(sure, p.argmax(1), y)
+    if held.any():
+        net.calibrate([t for t, h in zip(texts, held, strict=True) if h], y[held])
     return net
 
 
@@ -290,14 +314,14 @@ def _segmenter(net: ByteNetwork):
             for a, b, own in zip(src, keys, at, strict=True):
                 if len(own) < 2:
                     continue
-                path, scores, seg, i = decode(lp[own], alone=True), lp[own], 0, 0
+                path, scores, seg, i = decode(lp[own], alone=True), net.confidence(lp[own]), 0, 0
                 while i < len(own):
                     j = i
                     while j + 1 < len(own) and path[j + 1] == path[i]:
                         j += 1
                     if j > i:
                         seg += 1
-                        out.append((a, b, seg, LANGUAGES[path[i]], i + 1, j + 1, float(np.exp(scores[i : j + 1, path[i]]).mean())))
+                        out.append((a, b, seg, LANGUAGES[path[i]], i + 1, j + 1, float(scores[i : j + 1, path[i]].mean())))
                     i = j + 1
             cols = list(zip(*out, strict=True)) or [[] for _ in range(7)]
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
@@ -306,6 +330,34 @@ def _segmenter(net: ByteNetwork):
     return run
 
 
+def _labeller(net: ByteNetwork):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, keys, texts = (c.to_pylist() for c in batch.columns)
+            # What holds no whole sentence is scored as it stands, if it has words.
+            per = [sentences(t) or ([flat] if _WORD.search(flat := re.sub(r"\s+", " ", t).strip()) else []) for t in texts]
+            number: dict[str, int] = {}
+            at = [[number.setdefault(masked(s), len(number)) for s in ss] for ss in per]
+            conf = net.confidence(sentence_scores(net, list(number))) if number else None
+            lang, sure = [], []
+            for ss, own in zip(per, at, strict=True):
+                # Sentences count by their length.
+                p = np.average(conf[own], 0, [len(s) for s in ss]) if own else np.zeros(len(LANGUAGES))
+                lang.append(LANGUAGES[p.argmax()] if p.max() >= TOLD else None)
+                sure.append(float(p.max()))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(keys, pa.string()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["src", "row_key", "lang", "confidence"])
+
+    return run
+
+
+def languages(texts: DataFrame, net: ByteNetwork) -> DataFrame:
+    """``src, row_key, lang, confidence`` of each text of ``src, row_key, text``: the language of most of it.
+
+    ``lang`` is null where no language is probable enough, as in texts of a language that is not known, evenly mixed ones
+    and those without words (confidence 0). Null and blank texts give no row; repeated rows come out once per row given."""
+    return texts.where("trim(text) <> ''").select("src", "row_key", "text").mapInArrow(_labeller(net), "src string, row_key string, lang string, confidence double")
+
+
 def labelled_sample(pages: DataFrame, docs: DataFrame, per_language: int = PAGES_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` pages of each language the catalog names, chosen by a hash."""
     named = pages.where("trim(text) <> ''").join(docs.withColumn("code", F.lower(F.trim("language"))).where(F.col("code").isin(*LANGUAGES)).select("document_id", "code"), "document_id")
@@ -322,17 +374,31 @@ def segments(texts: DataFrame, net: ByteNetwork) -> DataFrame:
     return texts.where("trim(text) <> ''").select("src", "row_key", "text").mapInArrow(_segmenter(net), "src string, row_key string, seg_no long, lang string, first_sentence int, last_sentence int, confidence double")
 
 
-def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All segments of pages and gold texts, with the catalog's language beside them."""
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ByteNetwork]:
+    """Pages with their document's language in the catalog, gold texts, and the network trained on the labelled pages."""
     docs = table(spark, sf_dir, "case_documents").select(F.col("id").alias("document_id"), "language").dropDuplicates(["document_id"])
     pages = rows_of(spark, sf_dir, "ocr_pages", "ocr_pages", "id", "text", F.col("document_id").cast("long")).dropDuplicates(["row_key"])
-    net = fit(labelled_sample(pages, docs))
     gold = rows_of(spark, sf_dir, "gold_labels", "gold_labels", "id", "ocr_text").select("src", "row_key", "text", F.lit(None).cast("long").alias("document_id"))
-    found = segments(union(pages, gold), net)
-    catalog = pages.select("src", "row_key", "document_id").join(docs, "document_id", "left").select("src", "row_key", F.nullif(F.lower(F.trim("language")), F.lit("")).alias("catalog"))
+    return union(pages, gold), docs, fit(labelled_sample(pages, docs))
+
+
+def _with_catalog(found: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    catalog = texts.where("document_id is not null").select("src", "row_key", "document_id").join(docs, "document_id", "left").select("src", "row_key", F.nullif(F.lower(F.trim("language")), F.lit("")).alias("catalog"))
     return found.join(catalog, ["src", "row_key"], "left")
 
 
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of pages and gold texts, with the catalog's language beside them."""
+    texts, docs, net = _inputs(spark, sf_dir)
+    return _with_catalog(segments(texts, net), texts, docs)
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One language and confidence for each page and gold text, with the catalog's beside it."""
+    texts, docs, net = _inputs(spark, sf_dir)
+    return _with_catalog(languages(texts, net), texts, docs)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("src", "row_key")
     found = p3_segments(spark, sf_dir).withColumn("n", F.count("*").over(w)).where((F.col("src") == "gold_labels") | F.col("catalog").isNull() | (F.col("n") > 1) | (F.col("lang") != F.col("catalog")))
@@ -340,7 +406,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p3_found": p3_found, "p3_segments": p3_segments}
+    return {"p3_found": p3_found, "p3_segments": p3_segments, "p3_languages": p3_languages}
 
 
 def oracle_sql():

@@ -49,8 +49,11 @@ def test_held_out_accuracy():
     pages = [(k if rng.random() > 0.1 else "tr", " ".join(make(k) for _ in range(6))) for k in itertools.islice(itertools.cycle(SAMPLE), 400)]
     net = language.fit(pages)
     test = [(i, s) for i, k in enumerate(language.LANGUAGES) for s in SAMPLE[k]]
-    got = language.sentence_scores(net, [s for _, s in test]).argmax(1)
-    assert (got == [i for i, _ in test]).mean() >= 0.9
+    got = language.sentence_scores(net, [s for _, s in test])
+    right = got.argmax(1) == [i for i, _ in test]
+    assert right.mean() >= 0.9
+    sure = net.confidence(got)
+    assert np.allclose(sure.sum(1), 1) and net.temperature in language.TEMPERATURES
 
 
 @given(st.lists(st.lists(st.floats(-9, 0), min_size=3, max_size=3), min_size=2, max_size=7))
@@ -88,6 +91,8 @@ def test_segments(spark):
     net = language.ByteNetwork()
     df = spark.createDataFrame([("p", "1", None), ("p", "2", " "), ("p", "3", "Tek bir cümle var burada yalnız.")], "src string, row_key string, text string").withColumn("lang", F.lit("x"))
     assert language.segments(df, net).count() == 0
+    got = {r["row_key"]: r for r in language.languages(df.union(spark.createDataFrame([("p", "4", "12 / 34", "x"), ("p", "5", "Sayın", "x")], df.schema)), net).collect()}
+    assert set(got) == {"3", "4", "5"} and (got["4"]["lang"], got["4"]["confidence"]) == (None, 0.0) and 0 < got["5"]["confidence"] < 1
 
 
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=40))
