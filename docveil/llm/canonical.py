@@ -53,7 +53,7 @@ def mapping_frame(spark: SparkSession) -> DataFrame:
     """``ch, kind, units ARRAY<STRUCT<s, ccc>>``: what each character stands for, fully decomposed."""
     marks, kinds = lookalikes.marks(), {chr(k): v for k, v in lookalikes.mapping().items()}
     rows = []
-    chars = set(kinds) | {chr(m) for m in marks} | {c for c in map(chr, range(0xC0, 0x20000)) if (d := unicodedata.decomposition(c)) and not d.startswith("<")}
+    chars = set(kinds) | {chr(m) for m in marks} | {c for c in map(chr, range(0xC0, 0x2FA20)) if (d := unicodedata.decomposition(c)) and not d.startswith("<")}
     for ch in sorted(chars):
         to, kind = kinds.get(ch, (ch, "accent" if ord(ch) in ACCENTS and ord(ch) in marks else None))
         rows.append((ch, kind, [(c, marks.get(ord(c), 0)) for c in unicodedata.normalize("NFD", to)]))

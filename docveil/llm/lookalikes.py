@@ -31,7 +31,7 @@ def mapping() -> dict[int, tuple[str, str]]:
     The whole of Unicode is gone through, so the table is bounded by it, and nothing depends on the corpus.
     """
     out: dict[int, tuple[str, str]] = {}
-    for cp in range(0x80, 0x20000):
+    for cp in range(0x80, 0x2FA20):
         ch = chr(cp)
         cat = unicodedata.category(ch)
         if cat in ("Cn", "Co", "Cs"):
@@ -44,6 +44,11 @@ def mapping() -> dict[int, tuple[str, str]]:
             out[cp] = (LETTERS[cp], "letter")
         else:
             tag, _, rest = unicodedata.decomposition(ch).partition(" ")
+            # Compatibility ideographs are the ideograph itself.
+            if 0xF900 <= cp <= 0xFAFF or cp >= 0x2F800:
+                if (to := unicodedata.normalize("NFC", ch)) != ch:
+                    out[cp] = (to, "width")
+                continue
             if not tag.startswith("<") or tag[1:-1] in DIFFERENT:
                 continue
             to = unicodedata.normalize("NFKC", ch)
@@ -65,14 +70,14 @@ def mapping() -> dict[int, tuple[str, str]]:
 @cache
 def marks() -> dict[int, int]:
     """Combining marks and their class."""
-    return {cp: c for cp in range(0x300, 0x20000) if (c := unicodedata.combining(chr(cp))) and unicodedata.category(chr(cp)) == "Mn"}
+    return {cp: c for cp in range(0x300, 0x2FA20) if (c := unicodedata.combining(chr(cp))) and unicodedata.category(chr(cp)) == "Mn"}
 
 
 @cache
 def compositions() -> dict[tuple[str, str], str]:
     """Starter and mark to the composed letter."""
     out = {}
-    for cp in range(0xC0, 0x20000):
+    for cp in range(0xC0, 0x2FA20):
         parts = unicodedata.decomposition(chr(cp)).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
             a, b = (chr(int(x, 16)) for x in parts)

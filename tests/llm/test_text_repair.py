@@ -97,7 +97,7 @@ def brute(text):
     return unicodedata.normalize("NFC", re.sub(r"[^\W\d_]+", word, joined))
 
 
-TEXTS = ["ｏｌａｃａｋｔıｒ．", "tes⁠pit", "ģöz̆", "Тic. Α.Ş.", "договор σύμβαση", "m² ½ № ™ ², düz", "a b　c", "taraﬂar", "x̣̂", "İ i̇ İ", "plain", "", "ẹ́", "́x", "Ｓｉｃｈеrhеit", "ab­cd"]
+TEXTS = ["ｏｌａｃａｋｔıｒ．", "tes⁠pit", "ģöz̆", "Тic. Α.Ş.", "договор σύμβαση", "m² ½ № ™ ², düz", "a b　c", "taraﬂar", "x̣̂", "İ i̇ İ", "plain", "", "ẹ́", "́x", "Ｓｉｃｈеrhеit", "ab­cd", "\U0002F800 豈"]
 
 
 def test_canonical_equals_brute_force(spark):
