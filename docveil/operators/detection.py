@@ -1,82 +1,72 @@
 """Findings of the rules, set-oriented: every rule is one expression over the text, in one pass over the rows.
 
-All places are found by JVM expressions in a single projection; one generator turns them into findings. Only rules
-whose literal occurs in a text scan it.
+All places are found by JVM expressions in a single projection; one generator turns them into findings. Only rules of
+whose words one occurs in a text scan it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.functions.spans import bind, matches
-from docveil.functions.text import fingerprint, pseudonym_key, strip
+from docveil.functions.spans import SPANS, matches_sql, once, quoted
+from docveil.functions.text import BLANKS, fingerprint, pseudonym_key, search_fold, strip
 from docveil.operators.person_names import person_names
-from docveil.operators.rules import CONTEXT, COURT_HIGH, COURT_NUMBERED, COURT_SUFFIX, CRIMINAL, DIRECT, HEALTH, NOTARY_NUMBERED, PRIVILEGED, PSEUDONYM, RULES, Rule, is_person
+from docveil.operators.rules import CONTEXT, COURT_HIGH, COURT_NUMBERED, COURT_SUFFIX, CRIMINAL, DIRECT, HEALTH, NOTARY_NUMBERED, PRIVILEGED, PSEUDONYM, RULES, Rule, clauses, is_person
 
 #: Characters of a sample.
 SAMPLE = 180
 _TRIGGERS = f"(?iuU)(?:{HEALTH}|{CRIMINAL}|{PRIVILEGED})"
 _STREET = r"(?iuU)\b(?:mah\.?|mahallesi|cad\.?|caddesi|sok\.?|sokak|sokağı|sokagi|bulvarı|bulvari|apartmanı|apartmani|apt\.?|[İi]lçesi|ilcesi|köyü|koyu)\b"
-_EMPTY = "array<struct<start:int,end:int,value:string,whole:string>>"
+_LEAD = r"(?iuU)^(?:[A-ZÇĞİÖŞÜ][a-zA-Z0-9çğıöşüÇĞİÖŞÜ]*\s+){0,2}"
 
 
 def _pattern(rule: Rule) -> str:
     return f"(?{rule.flags}){rule.pattern}"
 
 
-def named_courts(text: Column) -> Column:
+def named_courts_sql(text: str) -> str:
     """Spans of the rules that begin at a court's own name."""
-    return F.concat(*(matches(text, f"(?iuU){p}") for p in (COURT_NUMBERED, NOTARY_NUMBERED, COURT_HIGH)))
+    return f"concat({', '.join(matches_sql(text, f'(?iuU){p}') for p in (COURT_NUMBERED, NOTARY_NUMBERED, COURT_HIGH))})"
 
 
-def generic_courts(text: Column) -> Column:
+def generic_courts_sql(text: str) -> str:
     """Authorities known by their last word, with what follows. One strictly inside a named court is that court and
     is skipped, and the scan resumes at the narrowest such court's end; else after the match.
 
     The suffixes are listed with the sweep as a lookahead, so that each keeps its place whatever is skipped; a fold
     over them plays the scan's cursor."""
     suffix, sweep = COURT_SUFFIX.rsplit("[^.", 1)
-    all_ = matches(text, f"(?iuU){suffix}")
-    follow = F.regexp_extract_all(text, F.lit(f"(?iuU){suffix}(?=([^.{sweep}))"), F.lit(1))
-
-    def walk(x: Column) -> Column:
-        spans = F.transform(F.arrays_zip(x["all"].alias("m"), x["follow"].alias("s")), lambda z: F.struct(z["m"]["start"].alias("start"), (z["m"]["end"] + F.length(F.coalesce(z["s"], F.lit("")))).alias("end")))
-
-        def step(acc: Column, m: Column) -> Column:
-            inside = F.array_min(F.transform(F.filter(x["named"], lambda n: (n["start"] < m["start"]) & (m["start"] < n["end"])), lambda n: n["end"]))
-            past = m["start"] < acc["at"]
-            at = F.when(past, acc["at"]).otherwise(F.coalesce(inside, m["end"]))
-            value = F.substr(text, m["start"] + 1, m["end"] - m["start"])
-            out = F.when(past | inside.isNotNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), value.alias("whole")))))
-            return F.struct(at.alias("at"), out.alias("out"))
-
-        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out")), step, lambda a: a["out"])
-
-    return bind(F.struct(all_.alias("all"), follow.alias("follow"), named_courts(text).alias("named")), walk)
-
-
-def _address_start(text: Column, m: Column) -> Column:
+    follow = f"regexp_extract_all({text}, {quoted(f'(?iuU){suffix}(?=([^.{sweep}))')}, 1)"
+    spans = "transform(arrays_zip(c.heads, c.tails), z -> named_struct('start', z.heads.start, 'end', z.heads.end + length(coalesce(z.tails, ''))))"
+    inside = "array_min(transform(filter(c.named, n -> n.start < m.start AND m.start < n.end), n -> n.end))"
+    value = f"substr({text}, m.start + 1, m.end - m.start)"
+    kept = f"concat(acc.out, array(named_struct('start', m.start, 'end', m.end, 'value', {value}, 'whole', {value})))"
+    step = once(inside, "i", f"named_struct('at', IF(m.start < acc.at, acc.at, coalesce(i, m.end)), 'out', IF(m.start < acc.at OR i IS NOT NULL, acc.out, {kept}))")
+    walk = f"aggregate({spans}, named_struct('at', 0, 'out', CAST(array() AS {SPANS})), (acc, m) -> {step}, acc -> acc.out)"
+    heads = matches_sql(text, f"(?iuU){suffix}")
+    return once(f"named_struct('heads', {heads}, 'tails', {follow}, 'named', {named_courts_sql(text)})", "c", walk)
+
+
+def _address_start_sql() -> str:
     """An address does not begin before a trigger of a sensitive clause that stands among its first words, if a street
     word is left after it."""
-    lead = F.regexp_extract(m["whole"], r"(?iuU)^(?:[A-ZÇĞİÖŞÜ][a-zA-Z0-9çğıöşüÇĞİÖŞÜ]*\s+){0,2}", 0)
-    cut = F.length(F.regexp_extract(lead, rf"^.*{_TRIGGERS}\s*", 0))
-    rest = F.substr(m["whole"], cut + 1)
-    return F.when((cut > 0) & rest.rlike(_STREET), F.struct((m["start"] + cut).alias("start"), m["end"].alias("end"), rest.alias("value"), rest.alias("whole"))).otherwise(m)
+    lead, trigger = quoted(_LEAD), quoted(rf"^.*{_TRIGGERS}\s*")
+    moved = once("substr(a.whole, k + 1)", "r", f"IF(k > 0 AND r RLIKE {quoted(_STREET)}, named_struct('start', a.start + k, 'end', a.end, 'value', r, 'whole', r), a)")
+    return once(f"length(regexp_extract(regexp_extract(a.whole, {lead}, 0), {trigger}, 0))", "k", moved)
 
 
-def _spans(text: Column, low: Column, rule: Rule) -> Column:
+def _spans_sql(rule: Rule) -> str:
+    """Spans of a rule in the column ``text``, beside which stand its forms ``low`` and ``clause``."""
     if rule.pattern == COURT_SUFFIX:
-        out = generic_courts(text)
+        out = generic_courts_sql("text")
     else:
-        out = matches(text, _pattern(rule), rule.group)
+        out = matches_sql("clause" if rule.clause else "text", _pattern(rule), rule.group, "text")
         if rule.category == "address":
-            out = F.transform(out, lambda m: _address_start(text, m))
-    if rule.literal:
-        out = F.when(reduce(Column.__or__, (low.contains(x) for x in rule.literal)), out).otherwise(F.array().cast(_EMPTY))
-    return out
+            out = f"transform({out}, a -> {_address_start_sql()})"
+    may = [f"({' OR '.join(f'contains(low, {quoted(w)})' for w in rule.words)})"] if rule.words else []
+    may += [f"text RLIKE {quoted(rule.shape)}"] if rule.shape else []
+    return f"IF({' AND '.join(may)}, {out}, CAST(array() AS {SPANS}))" if may else out
 
 
 def findings(docs: DataFrame, doc_id: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -86,29 +76,24 @@ def findings(docs: DataFrame, doc_id: str, text: str, rules: tuple[Rule, ...] =
     Offsets are half-open code points of the raw match; the value is stripped, the sample its first 180 characters.
     Null texts have none.
     """
-    low = F.lower(F.col(text))
-
-    def listed(i: int, r: Rule) -> Column:
-        return F.transform(
-            _spans(F.col(text), low, r),
-            lambda m, j: F.struct(
-                F.lit(i).alias("rule_ord"), j.alias("match_ord"), F.lit(r.category).alias("category"), F.lit(r.risk).alias("risk"), F.lit(r.action).alias("action"), F.lit(r.prefix).alias("prefix"),
-                m["start"].alias("start"), m["end"].alias("end"), strip(m["value"]).alias("value"), m["whole"].alias("whole"),
-            ),
-        )
-
-    each = [listed(i, r) for i, r in enumerate(rules)]
-    f = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(F.flatten(F.array(*each))).alias("f")).select("doc_id", "f.*").where("value <> ''")
+    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = base.select("doc_id", "text", F.translate(search_fold(F.col("text")), "ſ", "s").alias("low"), clauses(F.col("text")).alias("clause"))
+
+    listed = [f"transform({_spans_sql(r)}, (m, j) -> named_struct('rule_ord', {i}, 'match_ord', j, 'start', m.start, 'end', m.end, 'value', regexp_replace(m.value, {quoted(BLANKS)}, '')))" for i, r in enumerate(rules)]
+    f = base.select("doc_id", F.explode(F.expr(f"flatten(array({', '.join(listed)}))")).alias("f")).select("doc_id", "f.*").where("value <> ''")
     ok = F.lit(True)
     for i, r in enumerate(rules):
         if r.keep is not None:
             ok = F.when(F.col("rule_ord") == i, r.keep(F.col("value"))).otherwise(ok)
-    return f.where(ok).drop("whole").withColumn("sample", F.substring("value", 1, SAMPLE)).withColumn("fingerprint", fingerprint(F.col("value")))
+    # What a rule says of its findings is looked up once they are told.
+    told = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in (("category", r.category), ("risk", r.risk), ("action", r.action), ("prefix", r.prefix)))) for r in rules))
+    f = f.where(ok).withColumn("r", F.get(told, F.col("rule_ord")))
+    return f.select("doc_id", "rule_ord", "match_ord", "r.category", "r.risk", "r.action", "r.prefix", "start", "end", "value", F.substring("value", 1, SAMPLE).alias("sample"), fingerprint(F.col("value")).alias("fingerprint"))
 
 
-def all_findings(docs: DataFrame, doc_id: str, text: str, given: list[str]) -> DataFrame:
+def all_findings(docs: DataFrame, doc_id: str, text: str, given: list[str], rare: DataFrame | None = None) -> DataFrame:
     """``findings`` of all rules and, after them, the names that ``person_names`` finds without a title or role."""
-    n = person_names(docs, doc_id, text, given).where(is_person(F.col("value"))).select(
+    n = person_names(docs, doc_id, text, given, rare).where(is_person(F.col("value"))).select(
         "doc_id", F.lit(len(RULES)).alias("rule_ord"), F.col("start").alias("match_ord"), F.lit("natural_person_name").alias("category"), F.lit("HIGH").alias("risk"), F.lit(PSEUDONYM).alias("action"), F.lit("PERSON").alias("prefix"),
         "start", "end", "value", F.substring("value", 1, SAMPLE).alias("sample"), fingerprint(F.col("value")).alias("fingerprint"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docveil.functions.checks import valid_tckn, valid_vkn
 from docveil.functions.spans import matches
 from docveil.operators import spans as sp
-from docveil.operators.detection import all_findings, cut_identifiers, findings, named_courts, placeholders
+from docveil.operators.detection import all_findings, cut_identifiers, findings, named_courts_sql, placeholders
 from docveil.operators.person_names import GIVEN, given_names
 from docveil.operators.rules import DIRECT, RULES
 from docveil.operators.lineage import checkpointed
@@ -44,8 +44,8 @@ SELECT doc_id, value, start_at, start_at + length(value) AS end_at FROM s
 
 def _page_findings(spark: SparkSession, sf_dir: str, pages: DataFrame, doc_id: str) -> DataFrame:
     """Findings with placeholders; known given names are the common ones and those of the recorded findings."""
-    recorded = given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
-    return placeholders(all_findings(pages, doc_id, "text", [*GIVEN, *recorded]))
+    recorded, rare = given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
+    return placeholders(all_findings(pages, doc_id, "text", [*GIVEN, *recorded], rare))
 
 
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def redacted_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def court_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.explode(named_courts(F.col("text"))).alias("m")).select("doc_id", F.col("m.value").alias("value"), F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"))
+    return d.select("doc_id", F.explode(F.expr(named_courts_sql("text"))).alias("m")).select("doc_id", F.col("m.value").alias("value"), F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"))
 
 
 def numbered_notaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     known = pn.given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
     pages = table(spark, sf_dir, "ocr_pages").select("id", "text").dropDuplicates(["id"])
-    return pn.person_names(pages, "id", "text", known)
+    return pn.person_names(pages, "id", "text", *known)
 
 
 def part_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
