@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from docveil.functions.spans import SPANS, matches_sql, once, quoted
 from docveil.functions.text import BLANKS, fingerprint, pseudonym_key, search_fold, strip
 from docveil.operators.person_names import person_names
+from docveil.operators.spans import beside, merge_spans, overlapping
 from docveil.operators.rules import CONTEXT, COURT_HIGH, COURT_NUMBERED, COURT_SUFFIX, CRIMINAL, DIRECT, HEALTH, NOTARY_NUMBERED, PRIVILEGED, PSEUDONYM, RULES, Rule, clauses, is_person
 
+#: Labels of identifiers.
+ID_LABELS = ("TCKN", "TC", "VKN", "MERSIS", "MERSİS", "IBAN", "UYAP")
 #: Characters of a sample.
 SAMPLE = 180
 _TRIGGERS = f"(?iuU)(?:{HEALTH}|{CRIMINAL}|{PRIVILEGED})"
@@ -107,9 +110,7 @@ def cut_identifiers(f: DataFrame) -> DataFrame:
     key = ["doc_id", "c_start", "c_end", "c_ord"]
     clause = f.where(F.col("category").isin(*CONTEXT)).withColumn("c_ord", F.struct("rule_ord", "match_ord")).withColumn("c_start", F.col("start")).withColumn("c_end", F.col("end"))
     ident = f.where(F.col("category").isin(*DIRECT)).select("doc_id", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    cuts = clause.select(*key).join(ident, "doc_id").where("i_start < c_end AND c_start < i_end AND NOT (i_start = c_start AND i_end = c_end)")
-    from docveil.operators.spans import merge_spans
-
+    cuts = overlapping(clause.select(*key), ident, ["doc_id"], ("c_start", "c_end"), ("i_start", "i_end")).where("NOT (i_start = c_start AND i_end = c_end)")
     merged = merge_spans(cuts.withColumnRenamed("i_start", "start").withColumnRenamed("i_end", "end"), key)
     w = Window.partitionBy(*key).orderBy("start")
     inner = merged.withColumn("prev", F.lag("end").over(w))
@@ -122,16 +123,33 @@ def cut_identifiers(f: DataFrame) -> DataFrame:
     whole = clause.join(merged.select(*key).distinct(), key, "left_anti")
     part = F.expr("substring(value, p_start - c_start + 1, p_end - p_start)")
     lead = F.length(F.regexp_extract(part, r"(?U)^[\s.,;:]+", 0))
-    cut = cut.withColumn("piece", part).withColumn("lead", lead).select(*[c for c in f.columns if c not in ("start", "end", "value", "sample", "fingerprint")], (F.col("p_start") + F.col("lead")).alias("start"), strip(F.expr("substring(piece, lead + 1)")).alias("value"))
+    cut = cut.withColumn("piece", part).withColumn("lead", lead).select(*[c for c in f.columns if c not in ("start", "end", "value", "sample", "fingerprint")], (F.col("p_start") == F.col("c_start")).alias("leading"), (F.col("p_start") + F.col("lead")).alias("start"), strip(F.expr("substring(piece, lead + 1)")).alias("value"))
     cut = cut.withColumn("end", F.col("start") + F.length("value"))
-    cut = cut.where(F.col("value").rlike(r"(?U)\w{2,}")).withColumn("sample", F.substring("value", 1, SAMPLE)).withColumn("fingerprint", fingerprint(F.col("value")))
+    # The leading piece holds the clause's own word; any other one says nothing if its only word is an identifier's label.
+    words = F.regexp_extract_all("value", F.lit(r"\p{L}{2,}"), F.lit(0))
+    lone = (F.size(words) == 1) & F.upper(F.get(words, F.lit(0))).isin(*ID_LABELS) & ~F.col("leading")
+    cut = cut.where((F.size(words) > 0) & ~lone).drop("leading").withColumn("sample", F.substring("value", 1, SAMPLE)).withColumn("fingerprint", fingerprint(F.col("value")))
     rest = f.where(~F.col("category").isin(*CONTEXT))
     return rest.unionByName(whole.select(*f.columns)).unionByName(cut.select(*f.columns))
 
 
+#: Places of a rule in a text that are numbered in one go.
+STRETCH = 4096
+
+
 def placeholders(f: DataFrame) -> DataFrame:
     """Numbers per document and prefix, by first appearance in the order of rules and places; spellings that differ in
     case and blanks share one. Adds ``placeholder``."""
-    k = f.withColumn("key", pseudonym_key(F.col("value"))).withColumn("first", F.min(F.struct("rule_ord", "match_ord")).over(Window.partitionBy("doc_id", "prefix", "key")))
-    n = F.dense_rank().over(Window.partitionBy("doc_id", "prefix").orderBy("first"))
-    return k.withColumn("placeholder", F.concat(F.lit("["), "prefix", F.lit("_"), n.cast("string"), F.lit("]"))).drop("key", "first")
+    k = f.withColumn("key", pseudonym_key(F.col("value")))
+    first = k.groupBy("doc_id", "prefix", "key").agg(F.min(F.struct("rule_ord", "match_ord")).alias("first"))
+    numbered = numbers(first.withColumn("stretch", F.struct(F.col("first.rule_ord").alias("r"), F.floor(F.col("first.match_ord") / STRETCH).alias("m"))), ["doc_id", "prefix"], "stretch", "first")
+    j = beside(k, numbered.select("doc_id", "prefix", "key", "number"), ["doc_id", "prefix", "key"])
+    return j.withColumn("placeholder", F.concat(F.lit("["), "prefix", F.lit("_"), F.col("number").cast("string"), F.lit("]"))).drop("number", "key")
+
+
+def numbers(rows: DataFrame, keys: list[str], stretch: str, order: str) -> DataFrame:
+    """Adds ``number``, the rank from 1 of each row (``order`` is without ties) within its keys: the rows of the stretches
+    before its own, counted first, and its rank within its stretch. ``stretch`` rises with ``order``."""
+    w = Window.partitionBy(*keys).orderBy(stretch).rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*keys, stretch).agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+    return beside(rows, counts, [*keys, stretch]).withColumn("number", F.col("_base") + F.row_number().over(Window.partitionBy(*keys, stretch).orderBy(order))).drop("_base")

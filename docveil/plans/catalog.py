@@ -249,11 +249,17 @@ DUPLICATES = "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WH
 
 def size_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank 95th percentile, median and mean of file sizes per category (whole bytes)."""
-    d = _docs(spark, sf_dir).where("file_size is not null")
-    w = Window.partitionBy("category")
-    at = F.bround(F.lit(0.95) * (F.col("n") - 1)).cast("long") + 1
-    r = d.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("file_size", "id")))
-    return r.groupBy("category").agg(F.count("*").alias("documents"), F.max(F.when(F.col("i") == at, F.col("file_size"))).alias("p95"), F.median("file_size").alias("median"), F.max("file_size").alias("most"))
+    d = _docs(spark, sf_dir).where("file_size is not null").groupBy("category", "file_size").agg(F.count("*").alias("n"))
+    # Sizes are counted and their counts added up in stretches: the rows of a category are in no one task.
+    d = d.withColumn("stretch", F.floor(F.log2(F.col("file_size") + 1) * 64))
+    up = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    per = d.groupBy("category", "stretch").agg(F.sum("n").alias("m")).withColumn("base", F.sum("m").over(up("category").orderBy("stretch")) - F.col("m")).withColumn("all", F.sum("m").over(Window.partitionBy("category"))).drop("m")
+    r = d.join(per, ["category", "stretch"]).withColumn("upto", F.col("base") + F.sum("n").over(up("category", "stretch").orderBy("file_size")))
+    at = F.bround(F.lit(0.95) * (F.col("all") - 1)).cast("long") + 1
+    size_at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("file_size")))
+    return r.groupBy("category").agg(
+        F.sum("n").alias("documents"), size_at(at).alias("p95"), ((size_at(F.floor((F.col("all") + 1) / 2)) + size_at(F.floor((F.col("all") + 2) / 2))) / 2).alias("median"), F.max("file_size").alias("most"),
+    )
 
 
 PERCENTILES = f"""

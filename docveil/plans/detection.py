@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docveil.functions.checks import valid_tckn, valid_vkn
 from docveil.functions.spans import matches
+from docveil.functions.text import pseudonym_key
 from docveil.operators import spans as sp
-from docveil.operators.detection import all_findings, cut_identifiers, findings, named_courts_sql, placeholders
+from docveil.operators.detection import all_findings, cut_identifiers, findings, named_courts_sql, numbers, placeholders
 from docveil.operators.person_names import GIVEN, given_names
 from docveil.operators.rules import DIRECT, RULES
 from docveil.operators.lineage import checkpointed
@@ -174,13 +175,11 @@ SELECT p.part, p.point, min(n.e) AS enclosing_end FROM p LEFT JOIN n ON n.part =
 
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of recorded values by first appearance, per document and category."""
-    from pyspark.sql import Window
-
-    from docveil.functions.text import pseudonym_key
-
     f = _recorded(spark, sf_dir).where("sample is not null").withColumn("key", pseudonym_key(F.col("sample")))
-    f = f.withColumn("first", F.min("id").over(Window.partitionBy("document_id", "category", "key")))
-    return f.select("id", "document_id", "category", F.dense_rank().over(Window.partitionBy("document_id", "category").orderBy("first")).cast("long").alias("number"))
+    keys = ["document_id", "category", "key"]
+    first = f.groupBy(*keys).agg(F.min("id").alias("first"))
+    n = numbers(first.withColumn("stretch", F.floor(F.col("first") / 65_536)), ["document_id", "category"], "stretch", "first")
+    return f.select("id", *keys).join(n.select(*keys, "number"), keys).select("id", "document_id", "category", F.col("number").cast("long").alias("number"))
 
 
 _FOLD_SQL = "trim(replace(lower(translate(regexp_replace({0}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), 'İI', 'iı')), 'ς', 'ς'), ' ')"

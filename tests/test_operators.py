@@ -119,3 +119,54 @@ def test_attribution_by_alias_and_short_name(spark, tmp_path):
     clients = [(1, "Uzun Adlı Anonim Şirketi", '["Kartal Lojistik", "", "Arç", null]'), (2, "Köy", None), (3, "Beko", ""), (4, "Başka Birisi", "Zuhal Gıda; Yok Olan"), (5, None, '["kimse"]'), (6, " ", "{}"), (7, "Ad Soyad", "null")]
     spark.createDataFrame(clients, "id long, name string, aliases string").write.parquet(f"{tmp_path}/clients.parquet")
     assert {tuple(r) for r in attributed_pages(spark, str(tmp_path)).select("id", "client_id").collect()} == {(0, 1), (1, 1), (2, 2), (3, 1), (4, 4), (5, 5)}
+
+
+def brute_merge(rows):
+    out = []
+    for d in sorted({r[0] for r in rows}):
+        own = []
+        for s, e in sorted(r[1:3] for r in rows if r[0] == d):
+            if own and s <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], e)
+            else:
+                own.append([s, e])
+        out += [(d, s, e) for s, e in own]
+    return out
+
+
+def test_cells_change_nothing(spark):
+    """Merging, clipping, meeting and subtracting equal brute force for cells of any size."""
+    import random
+
+    from docveil.operators.spans import clip, merge_spans, overlapping
+
+    rng = random.Random(4)
+    spans = [(rng.randrange(3), (s := rng.randrange(60)), s + rng.choice([1, 2, 7, 25]), i) for i in range(60)]
+    a = spark.createDataFrame(spans, "d int, start int, end int, id int")
+    b = a.select("d", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("id").alias("id2"))
+    clipped = []
+    for d in range(3):
+        last = 0
+        for _, s, e, i in sorted((x for x in spans if x[0] == d), key=lambda x: (x[1], -x[2], x[3])):
+            if e > last:
+                clipped.append((d, max(s, last), e, i))
+                last = e
+    for cell in (1, 5, 16, 8192):
+        assert rows(merge_spans(a, ["d"], cell)) == sorted(brute_merge(spans), key=repr)
+        assert rows(overlapping(a, b, ["d"], ("start", "end"), ("s2", "e2"), cell).select("id", "id2")) == sorted(((x[3], y[3]) for x in spans for y in spans if x[0] == y[0] and y[1] < x[2] and x[1] < y[2]), key=repr)
+        assert rows(clip(a, ["d"], [F.col("start"), F.col("end").desc(), F.col("id")], cell)) == sorted(clipped, key=repr)
+
+
+def test_one_document_with_very_many_findings(spark):
+    from docveil.operators.detection import placeholders
+    from docveil.operators.spans import clip, merge_spans, overlap_ids
+
+    n = 100_000
+    f = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 9).alias("end"), "id")
+    assert [tuple(r) for r in merge_spans(f, ["doc_id"]).collect()] == [(1, 0, 7 * (n - 1) + 9)]
+    assert clip(f, ["doc_id"], [F.col("start")]).agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).collect()[0] == (n, 7 * (n - 1) + 9)
+    ids = overlap_ids(f.select("doc_id", F.col("id").alias("seg"), "start", "end"), f, "doc_id", "seg", "id")
+    assert ids.count() == n and ids.where("seg = 5").collect()[0]["ids"] == "4,5,6"
+    p = placeholders(spark.range(n).select(F.lit(1).alias("doc_id"), F.lit("P").alias("prefix"), F.lit(0).alias("rule_ord"), F.col("id").cast("int").alias("match_ord"), F.concat(F.lit("v"), (F.col("id") % 50_000).cast("string")).alias("value")))
+    got = p.agg(F.count_distinct("placeholder"), F.max(F.when(F.col("match_ord") == 77_777, F.col("placeholder")))).collect()[0]
+    assert tuple(got) == (50_000, "[P_27778]")
