@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docveil.operators.lineage import checkpointed
-
-#: Lengths of anchors: a name's anchor is as many of its first characters as the longest of these that it has, so the
-#: anchor covers more than half of a name, up to the last length.
-ANCHORS = (1, 2, 4, 8, 16)
-#: Anchors that are broadcast, at most (some 10 MB); beyond it stretches and anchors meet by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _low(c: str) -> Column:
-    return F.lower(F.translate(c, "İI", "iı"))
-
+from docveil.operators.containment import BROADCAST_ROWS, held
 
 def attribute(texts: DataFrame, names: DataFrame, text_id: str, text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``text_id, client_id``: the least client any of whose names (``client_id, name``; a row per name or alias) is in
-    the text, case aside.
-
-    No text is compared with all names: texts are exploded to the stretches as long as some name's anchor, which meet
-    the anchors by equality where they were made; then the whole name is looked up in place. Blank names, and texts
-    without a name, give no row. A name borne by many clients is one name, the least of them its client."""
-    t = texts.select(text_id, _low(text).alias("t"))
-    size = F.lit(0)
-    for n in ANCHORS:
-        size = F.when(F.length("n") >= n, n).otherwise(size)
-    n = names.select("client_id", _low("name").alias("n")).select("client_id", F.trim("n").alias("n")).where("n <> ''").groupBy("n").agg(F.min("client_id").alias("client_id"))
-    n = checkpointed(n.withColumn("anchor", F.left("n", size)))
-    # As many rows as there are lengths.
-    sizes = sorted(r[0] for r in n.select(F.length("anchor")).distinct().collect())
-    if not sizes:
-        return t.select(text_id, F.lit(None).cast(dict(names.dtypes)["client_id"]).alias("client_id")).limit(0)
-    stretches = F.array_distinct(F.flatten(F.array(*(F.expr(f"IF(length(t) >= {k}, transform(sequence(1, length(t) - {k - 1}), i -> substr(t, i, {k})), array())") for k in sizes))))
-    if n.count() <= broadcast_rows:
-        hits = t.select(text_id, "t", F.explode(stretches).alias("anchor")).join(F.broadcast(n), "anchor")
-        return hits.where(F.col("t").contains(F.col("n"))).groupBy(text_id).agg(F.min("client_id").alias("client_id"))
-    # A shuffled row carries no text: the text meets the few names that may be in it.
-    pairs = t.select(text_id, F.explode(stretches).alias("anchor")).join(n, "anchor").select(text_id, "client_id", "n")
-    return pairs.join(t, text_id).where(F.col("t").contains(F.col("n"))).groupBy(text_id).agg(F.min("client_id").alias("client_id"))
+    the text, case aside. Blank names, and texts without a name, give no row. A name borne by many clients is one name,
+    the least of them its client."""
+    low = lambda c: F.lower(F.translate(c, "İI", "iı"))
+    n = names.select("client_id", F.trim(low("name")).alias("n")).groupBy("n").agg(F.min("client_id").alias("client_id"))
+    return held(texts.select(text_id, low(text).alias("t")), text_id, n, [], broadcast_rows).groupBy(text_id).agg(F.min("client_id").alias("client_id"))
 
 
 def named(clients: DataFrame) -> DataFrame:

@@ -34,16 +34,21 @@ def text_of(words: DataFrame, page: str) -> DataFrame:
     return lines.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
-def regions(words: DataFrame, samples: DataFrame, page: str, sample_id: str, sample: str) -> DataFrame:
+def regions(words: DataFrame, samples: DataFrame, page: str, sample_id: str, sample: str, pages: DataFrame | None = None, doc: str | None = None) -> DataFrame:
     """Boxes of each sample's occurrences on its page: ``page, sample_id, first, x0, y0, x1, y1, confidence``.
 
-    The sample's words must follow each other on the page, edges aside. Candidates meet on the first word; the rest is
-    compared with the page's words, which are one row per page. Overlapping occurrences all count."""
+    The sample's words must follow each other on the page, edges aside. Samples belong to a page, or to a document
+    (``doc``) of which ``pages`` (``page, doc``) are the pages. They are met on their first two words, or their only one;
+    the rest is compared in the page's words, which are one row per page. Overlapping occurrences all count."""
     bare = lambda c: F.regexp_replace(c, EDGES, "")
+    of = doc or page
     listed = words.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("n", bare(F.col("word")).alias("w"), "x0", "y0", "x1", "y1", "confidence"))).alias("ws")).withColumn("words", F.transform("ws", lambda x: x["w"]))
-    s = samples.select(page, sample_id, F.filter(F.transform(F.split(F.trim(sample), r"(?U)\s+"), bare), lambda w: w != "").alias("sw")).where(F.size("sw") > 0)
-    # Only pages that hold the sample's words are walked.
-    j = listed.join(s, page).where(F.size(F.array_intersect("words", "sw")) == F.size(F.array_distinct("sw"))).withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.slice("words", i + 1, F.size("sw")) == F.col("sw"))))
-    box = F.slice("ws", F.col("at") + 1, F.size("sw"))
-    part = lambda f, c: f(F.transform(box, lambda x: x[c]))
+    s = samples.select(of, sample_id, F.filter(F.transform(F.split(F.trim(sample), r"(?U)\s+"), bare), lambda w: w != "").alias("sw")).where(F.size("sw") > 0)
+    s = s.withColumn("met", F.array_join(F.slice("sw", 1, 2), "\u0001"))
+    at = listed.select(page, F.posexplode("words").alias("at", "w"), "words").select(page, "at", F.explode(F.array_distinct(F.array(F.col("w"), F.concat_ws("\u0001", "w", F.get("words", F.col("at") + 1))))).alias("met"))
+    at = at.join(pages.select(page, of), page) if doc else at
+    hits = at.join(s, [of, "met"]).groupBy(page).agg(F.collect_list(F.struct("at", sample_id, "sw")).alias("hits"))
+    same = lambda x: F.slice("words", x["at"] + 1, F.size(x["sw"])) == x["sw"]
+    j = listed.join(hits, page).select(page, "ws", F.explode(F.filter("hits", same)).alias("x")).select(page, F.col(f"x.{sample_id}").alias(sample_id), F.col("x.at").alias("at"), F.slice("ws", F.col("x.at") + 1, F.size("x.sw")).alias("box"))
+    part = lambda f, c: f(F.transform("box", lambda x: x[c]))
     return j.select(page, sample_id, F.col("at").alias("first"), part(F.array_min, "x0").alias("x0"), part(F.array_min, "y0").alias("y0"), part(F.array_max, "x1").alias("x1"), part(F.array_max, "y1").alias("y1"), part(F.array_min, "confidence").alias("confidence"))

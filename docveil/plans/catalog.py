@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docveil.functions import text as tx
+from docveil.operators.containment import held
 from docveil.sources.tables import table
 
 
@@ -225,9 +226,9 @@ TARGETS = "SELECT DISTINCT document_id, sample, coalesce(nullif(replacement_text
 
 def leaked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples not dismissed or retained that still stand, case and diacritics aside, in a page of their document."""
-    f = table(spark, sf_dir, "privacy_findings").where("sample <> '' and (review_status is null or review_status not in ('dismissed', 'retained'))").select("document_id", tx.search_fold(F.col("sample")).alias("needle")).distinct()
-    p = table(spark, sf_dir, "ocr_pages").where("text is not null").dropDuplicates(["id"]).select("document_id", "id", tx.search_fold(F.col("text")).alias("hay"))
-    return p.join(f, "document_id").where(F.col("hay").contains(F.col("needle"))).groupBy("document_id").agg(F.count_distinct("needle").alias("leaked"), F.count_distinct("id").alias("pages"))
+    f = table(spark, sf_dir, "privacy_findings").where("sample <> '' and (review_status is null or review_status not in ('dismissed', 'retained'))").select("document_id", tx.search_fold(F.col("sample")).alias("n")).distinct()
+    p = table(spark, sf_dir, "ocr_pages").where("text is not null").dropDuplicates(["id"]).select("document_id", "id", tx.search_fold(F.col("text")).alias("t"))
+    return held(p, "id", f, ["document_id"]).groupBy("document_id").agg(F.count_distinct("n").alias("leaked"), F.count_distinct("id").alias("pages"))
 
 
 _FOLD = "lower(translate({0}, 'âÂçÇğĞıİIîÎöÖşŞüÜûÛ', 'aaccggiiiiioossuuuu'))"

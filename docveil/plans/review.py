@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docveil.functions.spans import matches
+from docveil.functions.text import search_fold
 from docveil.operators import ocr, redaction
 from docveil.operators.attribution import attribute, named
+from docveil.operators.containment import held
 from docveil.operators.rules import RULES
 from docveil.operators.scoring import scores
 from docveil.sources.tables import table
@@ -64,7 +66,8 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redaction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned pages cut at the approved samples of their document."""
     pages = table(spark, sf_dir, "ocr_pages").where("text is not null").dropDuplicates(["id"]).select("id", "document_id", "text")
-    own = pages.select("id", "document_id").join(_targets(spark, sf_dir), "document_id").select("id", "target", "needle", "replacement")
+    targets = _targets(spark, sf_dir).withColumn("n", search_fold(F.col("needle")))
+    own = held(pages.select("id", "document_id", search_fold(F.col("text")).alias("t")), "id", targets, ["document_id"]).select("id", "target", "needle", "replacement")
     apart = redaction.regions(pages, own, "id", "text")
     return redaction.segments(pages, apart, "id", "text")
 
@@ -104,8 +107,8 @@ SELECT id, length(t) AS chars, sha256(t) AS digest FROM (SELECT id, list_aggrega
 def sample_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of recorded samples on the pages of their document."""
     pages = table(spark, sf_dir, "ocr_pages").where("text is not null").select("id", "document_id").dropDuplicates(["id"])
-    s = pages.join(table(spark, sf_dir, "privacy_findings").where("sample is not null").select("document_id", F.col("id").alias("finding_id"), "sample").dropDuplicates(["finding_id"]), "document_id")
-    return ocr.regions(ocr.tokens(_recognised(spark, sf_dir), "id", "tsv", "w", "h"), s, "id", "finding_id", "sample")
+    s = table(spark, sf_dir, "privacy_findings").where("sample is not null").select("document_id", F.col("id").alias("finding_id"), "sample").dropDuplicates(["finding_id"])
+    return ocr.regions(ocr.tokens(_recognised(spark, sf_dir), "id", "tsv", "w", "h"), s, "id", "finding_id", "sample", pages, "document_id")
 
 
 QUERIES = {
