@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from docveil.functions.text import FOLDED, FOLDED_AS
+from docveil.operators.rules import RULES, Rule
 
 _DIGITS = "transform(split(x, ''), c -> try_cast(c AS INT))"
 FUNCTIONS = {
@@ -26,6 +29,31 @@ FUNCTIONS = {
 }
 
 
+def register_rules(spark: SparkSession, rules: tuple[Rule, ...] = RULES, name: str = "detect_spans") -> str:
+    """Makes a table function of the rules known to the session: ``SELECT t.id, d.* FROM t, LATERAL detect_spans(t.text) d``
+    gives ``category, risk, start, end, value`` of what ``findings`` gives in a text, courts and address starts aside. Its
+    rules are those given, so a caller adds some of their own."""
+    from pyspark.sql.functions import udtf
+
+    listed = [(r.category, r.risk, re.compile(_for_python(r)), r.group) for r in rules if r.keep is None]
+
+    @udtf(returnType="category string, risk string, start int, end int, value string")
+    class Spans:
+        def eval(self, text: str):
+            for category, risk, pattern, group in listed:
+                for m in pattern.finditer(text or ""):
+                    yield category, risk, *m.span(group), m[group].strip()
+
+    spark.udtf.register(name, Spans)
+    return name
+
+
+def _for_python(rule: Rule) -> str:
+    """The pattern in Python's dialect, which has no separate flag for Unicode case or classes."""
+    flags = "i" if "i" in rule.flags else ""
+    return (f"(?{flags})" if flags else "") + rule.pattern.replace("(?iu:", "(?i:")
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to the session; returns their names."""
     for name, (args, result, body) in FUNCTIONS.items():

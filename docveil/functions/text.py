@@ -54,6 +54,11 @@ def fingerprint(c: Column, digits: int = 12) -> Column:
     return F.substring(F.sha2(F.lower(c), 256), 1, digits)
 
 
+def manual_fingerprint(document: Column, category: Column, value: Column) -> Column:
+    """SHA-256 of document, category and value in small letters."""
+    return F.sha2(F.lower(F.concat_ws(":", document.cast("string"), category, value)), 256)
+
+
 def region_fingerprint(document: Column, finding: Column, page: Column, *coordinates: Column) -> Column:
     """20 hex digits over ids and coordinates of six decimals; a missing finding prints None."""
     parts = [document.cast("string"), F.coalesce(finding.cast("string"), F.lit("None")), page.cast("string"), *(F.format_string("%.6f", x) for x in coordinates)]

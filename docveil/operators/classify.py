@@ -56,11 +56,20 @@ RULES = (
 )
 
 
-def classify(docs: DataFrame, doc_id: str, filename: str, text: str) -> DataFrame:
-    """``doc_id, category, subcategory``. A text without a keyword is ``other, miscellaneous``."""
+#: The tags of each of the rules, in their order.
+TAGS = (
+    ("ceza", "şikayet"), ("dilekçe",), ("karar",), ("delil",), ("SHA", "hissedar"), ("SPA", "hisse devir"), ("kuruluş", "post-inc"), ("YKK",), ("sermaye",), ("vekaletname",), ("danışmanlık",), ("iş sözleşmesi",), ("hizmet",), ("protokol",),
+    ("yazılım",), ("satış",), ("IP",), ("NDA", "gizlilik"), ("marka",), ("KVKK",), ("KVKK/GDPR",), ("veri aktarım",), ("gizlilik politikası",), ("çerez",), ("kripto",), ("yasal görüş",), ("kullanım koşulları",), ("disiplin",),
+    ("rekabet yasağı",), ("sweat equity",), ("maaş",), ("fesih",), ("durum tespiti",), ("toplantı",), ("araştırma",), ("sunum",), ("rapor",), ("SAFE",), ("zimmet",), ("sulh",), ("tazminat",),
+)
+
+
+def classify(docs: DataFrame, doc_id: str, filename: str, text: str, tags: bool = False) -> DataFrame:
+    """``doc_id, category, subcategory`` and, if asked for, ``tags ARRAY<STRING>``. A text without a keyword is ``other,
+    miscellaneous`` and has no tags."""
     hay = docs.select(doc_id, F.lower(F.concat_ws("\n", filename, F.substring(text, 1, WINDOW))).alias("h"))
     rule = F.lit(len(RULES))
     for i in range(len(RULES) - 1, -1, -1):
         rule = F.when(reduce(Column.__or__, (F.col("h").contains(k) for k in RULES[i][0])), i).otherwise(rule)
-    names = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(s).alias("subcategory")) for _, c, s in (*RULES, ((), "other", "miscellaneous"))))
-    return hay.select(doc_id, F.get(names, rule).alias("c")).select(doc_id, "c.*")
+    names = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(s).alias("subcategory"), F.array(*map(F.lit, t)).cast("array<string>").alias("tags")) for (_, c, s), t in zip((*RULES, ((), "other", "miscellaneous")), (*TAGS, ()), strict=True)))
+    return hay.select(doc_id, F.get(names, rule).alias("c")).select(doc_id, "c.category", "c.subcategory", *(["c.tags"] if tags else []))

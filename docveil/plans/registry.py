@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docveil.plans import cases, catalog, detection, intervals, review, texts
+from docveil.plans import cases, catalog, detection, intervals, review, texts, workspace
 
-MODULES = (intervals, cases, detection, catalog, texts, review)
+MODULES = (intervals, cases, detection, catalog, texts, review, workspace)
 
 
 def queries():

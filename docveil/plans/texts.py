@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docveil.functions import text as tx
-from docveil.operators.classify import RULES, classify
+from docveil.operators.classify import RULES, TAGS, classify
 from docveil.sources.tables import table
 
 
@@ -99,7 +99,16 @@ def _case(field: int) -> str:
 
 CLASSIFIED = f"WITH d AS (SELECT doc_id, lower(replace(coalesce(doc_type, '') || chr(10) || left(text, 4000), 'İ', 'i̇')) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_case(0)} AS category, {_case(1)} AS subcategory FROM d"
 
-QUERIES = {"layout": (layout, LAYOUT), "fingerprints": (fingerprints, FINGERPRINTS), "filename_facets": (filename_facets, FACETS), "evidence": (evidence, EVIDENCE), "replacements": (replacements, REPLACEMENTS), "classified": (classified, CLASSIFIED)}
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the catalog's documents, by their names and titles."""
+    d = table(spark, sf_dir, "case_documents").dropDuplicates(["id"])
+    return classify(d, "id", "filename", "title", tags=True).select("id", F.explode("tags").alias("tag"))
+
+
+_TAG_CASE = " ".join("WHEN " + " OR ".join(f"contains(h, '{k}')" for k in keys) + f" THEN [{', '.join(repr(t) for t in tags)}]" for (keys, *_), tags in zip(RULES, TAGS, strict=True))
+TAGGED = f"WITH d AS (SELECT DISTINCT id, lower(replace(concat_ws(chr(10), filename, left(title, 4000)), 'İ', 'i̇')) AS h FROM case_documents) SELECT id, unnest(CASE {_TAG_CASE} ELSE [] END) AS tag FROM d"
+
+QUERIES = {"tagged": (tagged, TAGGED), "layout": (layout, LAYOUT), "fingerprints": (fingerprints, FINGERPRINTS), "filename_facets": (filename_facets, FACETS), "evidence": (evidence, EVIDENCE), "replacements": (replacements, REPLACEMENTS), "classified": (classified, CLASSIFIED)}
 
 
 def queries():

@@ -41,3 +41,36 @@ def test_mentions(spark):
     df = spark.createDataFrame([("Gizli SAĞLIK raporu",), (None,), ("x" * 5_000 + "gizli",)], "x string")
     got = df.select(tx.mentions(F.col("x"), ("gizli", "hasta")).alias("m"), tx.count_mentions(F.col("x"), ("gizli", "rapor", "hasta")).alias("n"), tx.explain(F.lit("party_role"), {"x": "y"}).alias("e")).collect()
     assert [tuple(r) for r in got] == [(True, 2, "Party Role"), (False, 0, "Party Role"), (False, 1, "Party Role")]
+
+
+def test_rules_as_a_table_function(spark):
+    from docveil.functions.sql import register_rules
+    from docveil.operators.rules import RULES, Rule
+
+    own = Rule("shelf_mark", r"\bRAF-\d+\b", "LOW", "Keep", "SHELF")
+    assert register_rules(spark, (*RULES, own)) == "detect_spans"
+    spark.createDataFrame([(1, "a@b.co RAF-12 Yargıtay"), (2, None)], "id int, text string").createOrReplaceTempView("texts_to_scan")
+    got = {tuple(r) for r in spark.sql("SELECT t.id, d.category, d.start, d.`end`, d.value FROM texts_to_scan t, LATERAL detect_spans(t.text) d").collect()}
+    assert {(1, "email_address", 0, 6, "a@b.co"), (1, "shelf_mark", 7, 13, "RAF-12")} <= got and all(r[0] == 1 for r in got)
+
+
+def test_redacted_documents_compare_with_their_source(spark):
+    from docveil.operators import quality
+    from docveil.sources import documents as d
+    from test_sources import W, docx, package
+
+    data = docx(["Ayşe Kaya geldi"], ["gitti"], **{"word/media/x.png": "x", "word/embeddings/y.bin": "y"})
+    broken = package({"word/document.xml": "<x", "word/header1.xml": f'<w:hdr xmlns:w="{W}"><w:p/></w:hdr>'})
+    frame = lambda rows: spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    before, after = frame([("a", data), ("b", data), ("c", b"no zip")]), frame([("a", d.redact_docx(data, [("Ayşe Kaya", "[P]")])), ("b", broken)])
+    got = {(r["path"], r["part"]): (r["status"], r["presence"], r["chars_delta"], r["paragraphs_delta"]) for r in quality.compared(before, after).collect()}
+    assert got == {("a", "word/document.xml"): ("pass", "both", -6, 0), ("b", "word/document.xml"): ("fail", "both", -20, -2), ("b", "word/header1.xml"): ("warn", "added", 0, 1)}
+    assert {tuple(r) for r in quality.unscanned(before).collect()} == {("a", "word/embeddings/y.bin"), ("b", "word/embeddings/y.bin")}
+
+
+def test_tags_of_classes(spark):
+    from docveil.operators.classify import RULES, TAGS, classify
+
+    assert len(RULES) == len(TAGS)
+    df = spark.createDataFrame([(1, "nda.pdf", ""), (2, "x", "zzz")], "id long, f string, t string")
+    assert {r["id"]: r["tags"] for r in classify(df, "id", "f", "t", tags=True).collect()} == {1: ["NDA", "gizlilik"], 2: []}
