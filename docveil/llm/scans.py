@@ -98,6 +98,8 @@ def headers(lines: DataFrame) -> DataFrame:
     """``src, row_key, line_no``: edge lines whose skeleton recurs on two pages of the document, or twice in a gold text."""
     near = lines.where(_sets_off() & ~page_number(F.col("line"))).withColumn("bone", _skeleton(F.col("line"))).where(F.length("bone") >= 4)
     near = near.select("src", "row_key", "doc", "line_no", "bone", "top", "edge", F.when(F.col("src") == "gold_labels", F.col("line_no")).otherwise(F.col("page")).alias("at"))
+    # Read four times.
+    near = checkpointed(near)
     seen = near.groupBy("src", "doc", "bone").agg(F.count_distinct("at").alias("n")).where("n >= 2").select("src", "doc", "bone")
     same = near.join(seen, ["src", "doc", "bone"], "left_semi")
     # Not letter for letter: compared with the document's own recurring lines, of which there are a few, and with the
