@@ -145,20 +145,20 @@ def truncated(docs: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(c, F.lit(False))
     # Ends are judged once each, however many texts have them.
     keys = ["a", "b", "z", "raw"]
-    own = last.select(*keys).distinct()
+    own = last.groupBy(*keys).agg(F.count("*").alias("rows"))
     judged = _looked_up(_looked_up(own, three, ["a", "b", "z"]), two, ["a", "b"])
     judged = _looked_up(_looked_up(_looked_up(judged, after, ["b", "z"]), before, ["b"]), one, ["z"])
     judged = judged.join(longer3, ["a", "b", "raw"], "left").join(longer1, "z", "left")
     judged = judged.withColumns({"longer3": F.coalesce("longer3", F.lit(0)), "longer1": F.coalesce("longer1", F.lit(0))})
-    judged = judged.select(*keys, "texts", yes(word).alias("word"), yes(sentence).alias("sentence"), yes(proper).alias("proper"), F.coalesce(stop, F.lit(False)).alias("stop"))
+    judged = judged.select(*keys, "rows", yes(word).alias("word"), yes(sentence).alias("sentence"), yes(proper).alias("proper"), F.coalesce(stop, F.lit(False)).alias("stop"))
     omission = F.col("omitted") & ~F.col("proper") & (F.col("word") | F.col("sentence") | ~F.col("stop"))
     kind = F.when(F.col("bytes"), "omission").when(omission, "omission").when(F.col("word"), "word").when(F.col("sentence"), "sentence")
     # Ends of many texts are few and go to where the texts are; only texts with other ends are shuffled.
     judged = checkpointed(judged)
     texts = last.count()
-    common = judged.where(F.col("texts") >= F.greatest(F.lit(2), F.lit(texts / COMMON))).drop("texts")
+    common = judged.where(F.col("rows") >= max(2.0, texts / COMMON)).drop("rows")
     here = last.join(F.broadcast(common), keys, "left")
-    there = here.where("word is null").select(*last.columns).join(judged.drop("texts"), keys)
+    there = here.where("word is null").select(*last.columns).join(judged.drop("rows"), keys)
     cols = ["doc_id", "source", kind.alias("kind")]
     return here.where("word is not null").select(*cols).union(there.select(*cols)).where("kind is not null").dropDuplicates(["doc_id"])
 
