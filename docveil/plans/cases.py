@@ -52,7 +52,7 @@ NAMES = {
     "listed_names": (("Tanıklar:\n1) Bergüzar Taş\n- Tülin Ak, Ökkeş Er", ("Bergüzar Taş", "Tülin Ak", "Ökkeş Er")), ("Saygılarımla,\nBergüzar Taş", ("Bergüzar Taş",))),
     "longest_name": (("Ayşe Su Kaya Demir geldi", ("Ayşe Su Kaya",)),),
     "best_run": (("Ayşe Mahkemesi Kaya Demir geldi", ("Kaya Demir",)), ("Ali Kaya\tAyşe Er", ("Ali Kaya", "Ayşe Er")), ("15 Nisan Yıldırım 2025", ()), ("Nisan Yıldırım geldi", ("Nisan Yıldırım",))),
-    "rejected_names": (("Ayşe Kaya Limited Şirketi", ()), ("Mehmet Caddesi", ()), ("Ayşe geldi", ())),
+    "rejected_names": (("Ayşe Kaya Limited Şirketi", ()), ("Mehmet Caddesi", ()), ("Ayşe geldi", ()), ("Ayşe Kaya ile Ayşe Er Ltd. Şti.", ("Ayşe Kaya",))),
     "apart_names": (("Mehmet Ali Yılmaz", ("Mehmet Ali Yılmaz",)),),
 }
 #: Sensitive clauses without the identifiers in them: pieces of the clause, in order.
@@ -114,6 +114,5 @@ def queries():
 
 def oracle_sql():
     rules = {f"case_{n}": _values(_in_order(cases, category)) for n, (category, cases) in RULES.items()}
-    names = {f"case_{n}": _values(_in_order(cases, "natural_person_name")) for n, cases in NAMES.items() if any(found for _, found in cases)}
-    none = {f"case_{n}": _values([(0, "x", "x", "x", 0)]) + " WHERE false" for n, cases in NAMES.items() if not any(found for _, found in cases)}
-    return rules | names | none | {"case_identifier_cuts": _values([(i, t, c, m, 0) for i, (t, c, ms) in enumerate(CUTS) for m in ms])}
+    names = {f"case_{n}": _values(_in_order(cases, "natural_person_name")) for n, cases in NAMES.items()}
+    return rules | names | {"case_identifier_cuts": _values([(i, t, c, m, 0) for i, (t, c, ms) in enumerate(CUTS) for m in ms])}

@@ -184,18 +184,6 @@ def reviewed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVIEWED = f"SELECT id, filename FROM {D} d WHERE id IN (SELECT document_id FROM privacy_findings WHERE source = 'manual')"
 
 
-def replaced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What remains of a document's findings when the detector's are replaced: those of reviewers, and the new ones,
-    which are pending."""
-    f = _findings(spark, sf_dir)
-    kept = f.where(~F.coalesce("source", F.lit("")).isin("detector", "ocr")).select("id", "document_id", "category", "review_status")
-    new = f.where(F.col("source").isin("detector", "ocr")).select("id", "document_id", "category", F.lit("pending").alias("review_status"))
-    return kept.unionByName(new).groupBy("category", "review_status").agg(F.count("*").alias("findings"))
-
-
-REPLACED = f"SELECT category, CASE WHEN coalesce(source, '') IN ('detector', 'ocr') THEN 'pending' ELSE review_status END AS review_status, count(*) AS findings FROM {FI} GROUP BY 1, 2"
-
-
 def inserted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert or ignore: each category of a document's findings once, unless the document's own category is the same."""
     new = table(spark, sf_dir, "privacy_findings").select(F.col("document_id").alias("id"), F.col("category").alias("tag")).distinct()
@@ -205,14 +193,6 @@ def inserted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 TAGS = f"SELECT DISTINCT document_id AS id, category AS tag FROM privacy_findings f WHERE NOT EXISTS (SELECT 1 FROM {D} d WHERE d.id = f.document_id AND d.category = f.category)"
 
 
-def upserted_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest document of each client: later rows win, ties by the id."""
-    return _docs(spark, sf_dir).where("client_id is not null").groupBy("client_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("document_id"), F.max("created_at").alias("assigned_at"))
-
-
-UPSERTED = f"SELECT client_id, id AS document_id, created_at AS assigned_at FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY created_at DESC, id DESC) AS n FROM {D} WHERE client_id IS NOT NULL) WHERE n = 1"
-
-
 def redaction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts to redact per document, with what replaces them: a reviewer's text, else the placeholder, else a
     plain mark; empty counts as missing."""
@@ -331,7 +311,7 @@ QUERIES = {
     "listing": (listing, LISTING), "listing_page": (listing_page, LISTING_PAGE), "listing_filtered": (listing_filtered, FILTERED), "dashboard": (dashboard, DASHBOARD), "category_stats": (category_stats, CATEGORY_STATS),
     "client_stats": (client_stats, CLIENT_STATS), "top_clients": (top_clients, TOP_CLIENTS), "ocr_summary": (ocr_summary, OCR_SUMMARY), "finding_matrix": (finding_matrix, MATRIX), "matter_rollup": (matter_rollup, MATTERS),
     "latest_finding": (latest_finding, LATEST), "latest_page": (latest_page, LATEST_PAGE), "source_text": (source_text, SOURCE_TEXT), "unassigned_documents": (unassigned_documents, UNASSIGNED),
-    "reviewed_documents": (reviewed_documents, REVIEWED), "replaced_findings": (replaced_findings, REPLACED), "inserted_tags": (inserted_tags, TAGS), "upserted_clients": (upserted_clients, UPSERTED),
+    "reviewed_documents": (reviewed_documents, REVIEWED), "inserted_tags": (inserted_tags, TAGS), 
     "redaction_targets": (redaction_targets, TARGETS), "leaked_samples": (leaked_samples, LEAKED), "duplicate_texts": (duplicate_texts, DUPLICATES), "size_percentiles": (size_percentiles, PERCENTILES),
     "audit_search": (audit_search, AUDIT), "login_throttle": (login_throttle, THROTTLE), "full_text_search": (full_text_search, SEARCH), "aliases": (aliases, ALIASES), "cohort": (cohort, COHORT),
 }
