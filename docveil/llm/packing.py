@@ -140,7 +140,7 @@ def packed(docs: DataFrame, capacities: DataFrame, windows: int = WINDOWS, items
     full = pieces.where("tokens = capacity_tokens").select("container", "capacity_tokens", (-1 - F.col("piece")).cast("long").alias("shard"), F.col("row").alias("window"), "doc_id", "piece", "first_token", "tokens")
     part = pieces.where("tokens < capacity_tokens")
     # One row per capacity tells how many shards its items need.
-    shards = part.groupBy("container", "capacity_tokens").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / (F.max("capacity_tokens") * F.lit(windows))), F.ceil(F.count("*") / F.lit(items))).alias("shards"))
+    shards = part.groupBy("container", "capacity_tokens").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / (F.max("capacity_tokens") * F.lit(windows).cast("long"))), F.ceil(F.count("*") / F.lit(items))).alias("shards"))
     sharded = part.join(F.broadcast(shards), ["container", "capacity_tokens"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), "shards").cast("long")).drop("shards", "row")
     return full.unionByName(sharded.groupBy("container", "capacity_tokens", "shard").applyInPandas(_pack_group, OUT))
 
