@@ -46,13 +46,13 @@ SELECT doc_id, value, start_at, start_at + length(value) AS end_at FROM s
 def _page_findings(spark: SparkSession, sf_dir: str, pages: DataFrame, doc_id: str) -> DataFrame:
     """Findings with placeholders; known given names are the common ones and those of the recorded findings."""
     recorded, rare = given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
-    return placeholders(all_findings(pages, doc_id, "text", [*GIVEN, *recorded], rare))
+    # Read several times by numbering and cutting; the rules run once.
+    return placeholders(checkpointed(all_findings(pages, doc_id, "text", [*GIVEN, *recorded], rare)))
 
 
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of all rules and all names over the scanned pages, cut, deduplicated and with placeholders."""
     pages = table(spark, sf_dir, "ocr_pages").select("id", "text").dropDuplicates(["id"])
-    # Read several times by the cut; the rules run once.
     f = checkpointed(_page_findings(spark, sf_dir, pages, "id"))
     f = sp.dedupe(cut_identifiers(f), "doc_id", [F.col("rule_ord"), F.col("match_ord")])
     return f.select("doc_id", "category", "sample", "risk", "action", "placeholder", "start", "end", "fingerprint")

@@ -170,3 +170,18 @@ def test_one_document_with_very_many_findings(spark):
     p = placeholders(spark.range(n).select(F.lit(1).alias("doc_id"), F.lit("P").alias("prefix"), F.lit(0).alias("rule_ord"), F.col("id").cast("int").alias("match_ord"), F.concat(F.lit("v"), (F.col("id") % 50_000).cast("string")).alias("value")))
     got = p.agg(F.count_distinct("placeholder"), F.max(F.when(F.col("match_ord") == 77_777, F.col("placeholder")))).collect()[0]
     assert tuple(got) == (50_000, "[P_27778]")
+
+
+def test_containment_equals_brute_force_however_large_a_group_is(spark):
+    import random
+
+    from docveil.operators.containment import held
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    texts = [(i, rng.choice([1, 2, None]), word(rng.randrange(40))) for i in range(50)] + [(99, 1, None)]
+    needles = [(i, rng.choice([1, 2, None]), word(rng.choice([0, 1, 3, 9, 18]))) for i in range(80)] + [(99, 1, None)]
+    want = {(i, j) for i, d, t in texts for j, e, n in needles if d == e is not None and t is not None and n and n in t}
+    t, n = spark.createDataFrame(texts, "id int, d int, t string"), spark.createDataFrame(needles, "k int, d int, n string")
+    for pairs, broadcast_rows in ((10**6, 10), (0, 1000), (0, 0), (600, 0)):
+        assert {(r["id"], r["k"]) for r in held(t, "id", n, ["d"], broadcast_rows, pairs).collect()} == want
