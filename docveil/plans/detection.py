@@ -43,6 +43,13 @@ SELECT doc_id, value, start_at, start_at + length(value) AS end_at FROM s
 """
 
 
+def _spread(pages: DataFrame, key: str) -> DataFrame:
+    """Pages, each once, over as many partitions as the session shuffles to. Rules take a thousand times as long on a text
+    as reading it does, so partitions are not merged for being small."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, key).dropDuplicates([key])
+
+
 def _page_findings(spark: SparkSession, sf_dir: str, pages: DataFrame, doc_id: str) -> DataFrame:
     """Findings with placeholders; known given names are the common ones and those of the recorded findings."""
     recorded, rare = given_names(table(spark, sf_dir, "privacy_findings").where("category = 'natural_person_name'"), "sample")
@@ -52,7 +59,7 @@ def _page_findings(spark: SparkSession, sf_dir: str, pages: DataFrame, doc_id: s
 
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of all rules and all names over the scanned pages, cut, deduplicated and with placeholders."""
-    pages = table(spark, sf_dir, "ocr_pages").select("id", "text").dropDuplicates(["id"])
+    pages = _spread(table(spark, sf_dir, "ocr_pages").select("id", "text"), "id")
     f = checkpointed(_page_findings(spark, sf_dir, pages, "id"))
     f = sp.dedupe(cut_identifiers(f), "doc_id", [F.col("rule_ord"), F.col("match_ord")])
     return f.select("doc_id", "category", "sample", "risk", "action", "placeholder", "start", "end", "fingerprint")
@@ -66,7 +73,7 @@ def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the clipped findings replaced, cut to 12,000 characters."""
-    pages = table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    pages = _spread(table(spark, sf_dir, "ocr_pages").select(F.col("id").alias("doc_id"), "text"), "doc_id")
     f = _page_findings(spark, sf_dir, pages, "doc_id")
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sp.RISK.items() for x in kv)), F.col("risk")), F.lit(5))
     c = sp.clip(f, ["doc_id"], [F.col("start"), rank.desc(), (F.col("start") - F.col("end")), F.col("rule_ord"), F.col("match_ord")])
