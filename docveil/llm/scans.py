@@ -247,8 +247,9 @@ def misshapen(words: DataFrame, known: DataFrame) -> DataFrame:
 
 #: Misread words that are broadcast, at most: about 10 MB.
 BROADCAST_ROWS = 200_000
-#: Longs in the word filter, at least and at most (32 MB); a word is one bit of them, and each has sixteen to itself.
-FILTER = (1 << 15, 1 << 22)
+#: Longs in the word filter, at least and at most; a word is one bit of them, and each has sixteen to itself until there
+#: are four million words. A long is a row of some 30 bytes where it is broadcast: 30 MB at most.
+FILTER = (1 << 15, 1 << 20)
 
 
 def _filtered(words: DataFrame, keep: DataFrame, count: int) -> DataFrame:
