@@ -43,6 +43,8 @@ KNOWN, OFTENER = 6, 5
 CERTAIN = 20
 #: Characters gone over at a time.
 CHUNK = 1 << 19
+#: Joined letters that printed text holds.
+JOINED = "ﬁﬂ"
 #: Signs that stand in sound text, after a unit or alone.
 SIGNS = "²³½¼¾№™®©§€£°ªº…„“”–—•«»‰†‡·±×÷¹µ"
 
@@ -372,8 +374,10 @@ def _gain(stats: Statistics, word: str, base: float, r: str, path: Path) -> floa
         # Byte sequences that are valid are rarely so by chance; single bytes need the gain.
         return max(gain, 0.0) + 2.0 * (len(word) - len(r)) if all(c < "\x7f" or c in NATURAL for c in r) else gain
     inside = [0 < i < len(word) - 1 and word[i - 1].isalpha() and word[i + 1].isalpha() for i in gone]
-    # Natural letters, look-alikes and invisible characters are no evidence, nor are signs set apart.
-    if not any((c := word[i]) not in NATURAL and ord(c) not in LOOKALIKE and unicodedata.category(c) != "Cf" and (c not in SIGNS or mid) for i, mid in zip(gone, inside, strict=True)):
+    # Natural letters, look-alikes and invisible characters are no evidence, nor are signs set apart; joined letters, which
+    # are what a Turkish page of the other make leaves for two letters, are none for that page.
+    weak = JOINED if path[2] == "mac_turkish" else ""
+    if not any((c := word[i]) not in NATURAL and c not in weak and ord(c) not in LOOKALIKE and unicodedata.category(c) != "Cf" and (c not in SIGNS or mid) for i, mid in zip(gone, inside, strict=True)):
         return 0.0
     return gain if gain > GAIN * max(1, len(gone)) else 0.0
 

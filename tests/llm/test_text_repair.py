@@ -44,6 +44,11 @@ def test_natural_letters_need_the_corpus():
     assert repair(stats, "Mme BerÚnice")[1:] == (0, 0)
 
 
+def test_joined_letters_are_no_damage():
+    stats = stats_of(CLEAN + ["tarafların iade yükümlülükleri, tarafların"] * 20)
+    assert repair(stats, "taraﬂarın iade")[1:] == (0, 0)
+
+
 def test_many_texts_at_once():
     stats = stats_of(CLEAN)
     texts = [*CLEAN[:4], "Ã§alÄ±ÅŸan", "", "x" * (mojibake.CHUNK + 5), "geÃ§irilmiÅŸtir " * 3]
